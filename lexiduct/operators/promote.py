@@ -14,8 +14,8 @@ def queue(crossed: DataFrame, resident: DataFrame, capacity: int = 256) -> DataF
     first crossing (ts, event_id); those beyond the capacity are dropped."""
     first = crossed.groupBy("prefix").agg(F.min(F.struct("ts", "event_id")).alias("at"))
     new = first.join(resident.select("prefix"), "prefix", "left_anti")
-    head = new.orderBy("at", "prefix").limit(capacity).select("prefix", F.lit(True).alias("_in"))
-    return new.select("prefix").join(head, "prefix", "left").select("prefix", F.coalesce("_in", F.lit(False)).alias("accepted"))
+    head = new.orderBy("at", "prefix").limit(capacity).select(F.col("prefix").alias("_in"))
+    return new.select("prefix").join(head, F.col("prefix") == F.col("_in"), "left").select("prefix", F.col("_in").isNotNull().alias("accepted"))
 
 
 def build(prefixes: DataFrame, corpus: DataFrame, max_words: int = 50_000) -> DataFrame:
