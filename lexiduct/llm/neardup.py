@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lexiduct.llm.shared import components, written
 
-BLOCK = 1024
+BLOCK = 2048
+QUERIES = 512  # compared at a time, which bounds a task's memory
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -73,9 +74,6 @@ def links_of_blocks(xi, idx, wi, xj, idj, wj, same: bool, threshold: float, turn
     ui, uj = xi / ni[:, None], xj / nj[:, None]
     _, codes, factor = encode(ui, turn)
     query = (uj @ turn.T).astype(np.float32)
-    pairs = candidates(codes, factor, query, threshold, sigmas)
-    if same:
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
     n_i, n_j = np.zeros(len(idx), np.int64), np.zeros(len(idj), np.int64)
     a_out, b_out = [], []
     # Union-find over both blocks keeps one edge for each joining of two parts.
@@ -88,18 +86,22 @@ def links_of_blocks(xi, idx, wi, xj, idj, wj, same: bool, threshold: float, turn
             v = parent[v]
         return v
 
-    for lo in range(0, len(pairs), 1 << 16):
-        p = pairs[lo : lo + (1 << 16)]
-        cos = np.einsum("ij,ij->i", xi[p[:, 0]], xj[p[:, 1]]) / (ni[p[:, 0]] * nj[p[:, 1]])
-        p = p[cos >= threshold]
-        np.add.at(n_i, p[:, 0], wj[p[:, 1]])
-        np.add.at(n_j, p[:, 1], wi[p[:, 0]])
-        for a, b in p.tolist():
-            u, v = find(a), find(base + b)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                a_out.append(idx[a])
-                b_out.append(idj[b])
+    for lo in range(0, len(idj), QUERIES):
+        p = candidates(codes, factor, query[lo : lo + QUERIES], threshold, sigmas)
+        p[:, 1] += lo
+        if same:
+            p = p[p[:, 0] < p[:, 1]]
+        for part in np.array_split(p, -(-len(p) // (1 << 15)) or 1):
+            cos = np.einsum("ij,ij->i", xi[part[:, 0]], xj[part[:, 1]]) / (ni[part[:, 0]] * nj[part[:, 1]])
+            part = part[cos >= threshold]
+            np.add.at(n_i, part[:, 0], wj[part[:, 1]])
+            np.add.at(n_j, part[:, 1], wi[part[:, 0]])
+            for a, b in part.tolist():
+                u, v = find(a), find(base + b)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    a_out.append(idx[a])
+                    b_out.append(idj[b])
     return n_i, n_j, a_out, b_out
 
 
@@ -114,6 +116,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
     and are their own component; a null vec_id is its own component too.  sigmas=None
     drops pairs only on the certain bound, so no link is lost."""
     spark = vectors.sparkSession
+    # Blocks keep the components as they are stored; cosines are always computed in doubles.
+    stored = np.float32 if "float" in dict(vectors.dtypes)["embedding"] else np.float64
     rows = clean_vectors(vectors).withColumn("dim", F.size("embedding"))
     # A vector's exact components name its class, in which copies meet (-0.0 counts as 0.0).
     key = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: F.hex(F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string").cast("binary")))), 256)
@@ -130,9 +134,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
         for b in batches:
             ids += b["rep"].to_pylist()
             copies += b["copies"].to_pylist()
-            values.append(b["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if isinstance(b["embedding"], pa.ChunkedArray) else b["embedding"].flatten().to_numpy(zero_copy_only=False))
+            values.append(b["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
         label, dim, block, blocks = (k.as_py() for k in keys)
-        x = np.concatenate(values).astype(np.float64)
+        x = np.concatenate(values).astype(stored)
         yield pa.RecordBatch.from_arrays(
             [pa.array([v]) for v in (label, dim, block, blocks, np.array(ids, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), x.tobytes())],
             schema=pa.schema([("label", pa.string()), ("dim", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("x", pa.binary())]),
@@ -158,7 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
                 turn = turns.setdefault(dim, rotation(dim, seed))
                 get = lambda c, t: np.frombuffer(b[c][r].as_buffer(), t)  # noqa: B023, E731
                 idx, idj = get("ids_i", np.int64), get("ids_j", np.int64)
-                xi, xj = get("x_i", np.float64).reshape(-1, dim), get("x_j", np.float64).reshape(-1, dim)
+                xi, xj = (get(c, stored).reshape(-1, dim).astype(np.float64) for c in ("x_i", "x_j"))
                 same = b["same"][r].as_py()
                 n_i, n_j, a, e = links_of_blocks(xi, idx, get("copies_i", np.int64), xj, idj, get("copies_j", np.int64), same, threshold, turn, sigmas)
                 hit_i, hit_j = np.flatnonzero(n_i), np.flatnonzero(n_j)
