@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiduct.llm import decontam, jaccard, langid, packing, toxicity
-from lexiduct.llm.queries import tokenizer_path, toxic_training_rows
+from lexiduct.llm.queries import labels_outside, tokenizer_path
 from lexiduct.llm.shared import table, written
 from lexiduct.plans.session import ready
 
@@ -35,7 +35,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    fm = toxicity.fit_toxicity(toxic_training_rows(ready(spark), sf_dir, held_out=None))
+    labels = labels_outside(ready(spark), sf_dir, "toxic", 4, None)
+    fm = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), labels)
     return toxicity.score_toxicity(docs, fm).where("predicted = 0").select(*docs.columns)
 
 

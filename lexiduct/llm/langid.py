@@ -103,8 +103,8 @@ def lowered(column) -> list[str]:
 def fit_language_model(train: DataFrame, docs_per_lang: int = 1500, max_chars: int = 1_000_000, alpha: float = 0.5) -> LanguageModel:
     """Learns from train (doc_id, text, lang): a hash sample of about docs_per_lang
     documents of each language (of those up to max_chars long), counted in tasks."""
-    usable = train.where("lang is not null and text is not null").where(F.length("text") <= max_chars)
-    sample, _ = hash_sample(usable, "doc_id", "lang", docs_per_lang)
+    sample, _ = hash_sample(train.where("lang is not null"), "doc_id", "lang", docs_per_lang)
+    sample = sample.where("text is not null").where(F.length("text") <= max_chars)
     features = len(ORDERS) << BITS
 
     def count(batches):
@@ -120,9 +120,8 @@ def fit_language_model(train: DataFrame, docs_per_lang: int = 1500, max_chars: i
             some = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(t[some])], names=["lang", "f", "n"])
 
-    got = sample.select("text", "lang").coalesce(16).mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow()
-    docs = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
-    langs = sorted(docs)
+    got = sample.select("text", "lang").repartition(16).mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(got["lang"].to_pylist()))
     counts = np.zeros((features, len(langs)))
     pos = {x: i for i, x in enumerate(langs)}
     cols = np.array([pos[x] for x in got["lang"].to_pylist()], np.int64)
@@ -135,11 +134,11 @@ def fit_language_model(train: DataFrame, docs_per_lang: int = 1500, max_chars: i
     return LanguageModel(langs, logp.astype(np.float32), prior)
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred string (a learned language; `und` for null texts and texts
-    without a letter) and score double (the posterior of lang_pred; 0 for `und`).  Needs
-    text; all columns of docs are kept but earlier ones named lang_pred or score."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (only the columns of keep, if given) with lang_pred string (a learned language;
+    `und` for null texts and texts without a letter) and score double (the posterior of
+    lang_pred; 0 for `und`).  Needs text; earlier columns of those names are replaced."""
+    names = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).schema
     for c, t in (("lang_pred", "string"), ("score", "double")):
         schema = schema.add(c, t)
@@ -147,6 +146,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches):
         for b in batches:
             lang, post = model.score(lowered(b["text"]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(post)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(lang, pa.string()), pa.array(post)], names=[*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiduct.llm import words as W
-from lexiduct.llm.shared import hash_sample
+from lexiduct.llm.shared import labelled_sample
 
 OWN = 13
 FEATURES = 3 * OWN + 3  # own, previous and next line's, no previous, no next, 1
@@ -171,12 +171,11 @@ class QualityField:
         return np.where(np.diff(bounds) > 0, out, self.empty)
 
 
-def fit_quality(train: DataFrame, per_class: int = 1500, epochs: int = 80, max_bytes: int = 200_000, max_lines: int = 400) -> QualityField:
-    """Learns from train (doc_id, text, label 0/1): a hash sample of about per_class
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int = 80, max_bytes: int = 200_000, max_lines: int = 400) -> QualityField:
+    """Learns from docs (doc_id, text) and labels (doc_id, label 0/1): a hash sample of about per_class
     documents of each class (of those up to max_bytes and max_lines) comes to the driver."""
-    usable = train.where("label is not null and text is not null").where(F.octet_length("text") <= max_bytes)
-    sample, rates = hash_sample(usable, "doc_id", "label", per_class)
-    got = sample.select("text", "label").toArrow()
+    sample, rates = labelled_sample(docs, labels, per_class)
+    got = sample.where(F.octet_length("text") <= max_bytes).toArrow()
     y = got["label"].to_numpy().astype(int)
     xs, lens, ns = [], [], []
     for chunk in got["text"].chunks:
@@ -231,11 +230,11 @@ def fit_quality(train: DataFrame, per_class: int = 1500, epochs: int = 80, max_b
     return field
 
 
-def score_quality(docs: DataFrame, field: QualityField, threshold: float = 0.3) -> DataFrame:
-    """docs with score double (the probability that a text is good) and predicted int.
+def score_quality(docs: DataFrame, field: QualityField, threshold: float = 0.3, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (only the columns of keep, if given) with score double (the probability that a text is good) and predicted int.
     Needs text; null, empty and blank texts have no lines and get the score of a text
     whose every line is bad.  All columns are kept but earlier ones of those names."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in keep or docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*names).schema
     for c, t in (("score", "double"), ("predicted", "integer")):
         schema = schema.add(c, t)
@@ -245,9 +244,9 @@ def score_quality(docs: DataFrame, field: QualityField, threshold: float = 0.3)
             score = np.zeros(b.num_rows)
             for lo, hi, x, length, bounds in line_groups(b["text"]):
                 score[lo:hi] = field.document(field.marginals(x, bounds), length, bounds)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
 def line_labels(docs: DataFrame, field: QualityField) -> DataFrame:

@@ -16,36 +16,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def labelled_rows(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int | None) -> DataFrame:
-    """doc_id, text, label of the labelled documents outside the held-out fold.  Of
-    repeated label rows the larger label counts."""
+def labels_outside(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int | None) -> DataFrame:
+    """doc_id, label of the labelled documents outside the held-out fold.  Of repeated
+    label rows the larger label counts."""
     labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if held_out is not None:
         labels = labels.where(fold("doc_id", folds) != held_out)
-    labels = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-
-
-def quality_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled_rows(spark, sf_dir, "quality", 5, 0)
-
-
-def toxic_training_rows(spark: SparkSession, sf_dir: str, held_out: int | None = 2) -> DataFrame:
-    return labelled_rows(spark, sf_dir, "toxic", 4, held_out)
+    return labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = quality.fit_quality(quality_training_rows(ready(spark), sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit_quality(docs, labels_outside(spark, sf_dir, "quality", 5, 0))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    return quality.score_quality(docs, field).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return quality.score_quality(docs, field, keep=("doc_id",)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     model = langid.fit_language_model(docs.where(fold("doc_id", 3) != 1))
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
-    return langid.identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.identify_languages(docs.select("doc_id", "text"), model, keep=("doc_id",)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +44,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fm = toxicity.fit_toxicity(toxic_training_rows(ready(spark), sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    fm = toxicity.fit_toxicity(docs, labels_outside(spark, sf_dir, "toxic", 4, 2))
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    return toxicity.score_toxicity(docs, fm).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return toxicity.score_toxicity(docs, fm, keep=("doc_id",)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

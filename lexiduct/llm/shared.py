@@ -52,6 +52,14 @@ def hash_sample(df: DataFrame, key: str, strata: str, cap: int) -> tuple[DataFra
     return df.where(picked), rates
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int) -> tuple[DataFrame, dict]:
+    """text, label of about cap documents of each label (labels: doc_id, label), and the
+    rate of each label.  Labels are counted and sampled before they meet the documents,
+    so only the sample, whose size cap bounds, is broadcast and no text is shuffled."""
+    sample, rates = hash_sample(labels.where("label is not null and doc_id is not null"), "doc_id", "label", cap)
+    return docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").where("text is not null").select("text", "label"), rates
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long) -> (node, component), the
     component being its smallest node.  Nodes without an edge are not returned.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiduct.llm import words as W
-from lexiduct.llm.shared import hash_sample
+from lexiduct.llm.shared import labelled_sample
 
 U = np.uint64
 BITS = 20
@@ -75,37 +75,43 @@ def kept(terms: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return (pair & 0xFFFFFFFF).astype(np.int64), np.searchsorted(rows, np.arange(len(off)))
 
 
-def fit_toxicity(train: DataFrame, per_class: int = 3000, max_terms: int = 4096, factors: int = 8, epochs: int = 150, max_bytes: int = 1_000_000, seed: int = 7) -> FactorizationMachine:
-    """Learns from train (doc_id, text, label 0/1): a hash sample of about per_class
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_terms: int = 4096, factors: int = 8, epochs: int = 150, max_bytes: int = 1_000_000, seed: int = 7) -> FactorizationMachine:
+    """Learns from docs (doc_id, text) and labels (doc_id, label 0/1): a hash sample of about per_class
     documents of each class (of those up to max_bytes long) comes to the driver, and
     Adam minimises the log-loss, each class weighted as it occurs."""
-    usable = train.where("label is not null and text is not null").where(F.octet_length("text") <= max_bytes)
-    sample, rates = hash_sample(usable, "doc_id", "label", per_class)
-    got = sample.select("text", "label").toArrow()
+    sample, rates = labelled_sample(docs, labels, per_class)
+    got = sample.where(F.octet_length("text") <= max_bytes).toArrow()
     y = got["label"].to_numpy().astype(np.float64)
-    terms_of, off_of = [], [np.zeros(1, np.int64)]
-    for chunk in got["text"].chunks:
-        for _, _, t, off in term_groups(chunk):
-            terms_of.append(t)
-            off_of.append(off_of[-1][-1] + off[1:])
-    off = np.concatenate(off_of)
-    terms = np.concatenate(terms_of) if terms_of else np.zeros(0, np.int64)
     if len(np.unique(y)) < 2:
         odds = -6.0 if not len(y) or y[0] == 0 else 6.0
         return FactorizationMachine(np.zeros(0, np.int64), odds, np.zeros(0), np.zeros((0, factors)))
-    # Terms whose document frequencies differ: a two-proportion z, at least 3 documents.
-    x, xo = kept(terms, off, np.arange(1 << BITS, dtype=np.int32))
-    rows = np.repeat(np.arange(len(y)), np.diff(xo))
+    # Distinct terms are kept by groups of a megabyte of text, in 4 bytes each.
     n1, n0 = y.sum(), len(y) - y.sum()
-    d1 = np.bincount(x, weights=y[rows], minlength=1 << BITS)
-    d0 = np.bincount(x, minlength=1 << BITS) - d1
+    d1, d0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    every = np.arange(1 << BITS, dtype=np.int32)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    first = 0
+    for chunk in got["text"].chunks:
+        for lo, hi, t, off in term_groups(chunk):
+            x, xo = kept(t, off, every)
+            toxic = np.repeat(y[first + lo : first + hi] == 1, np.diff(xo))
+            d1 += np.bincount(x[toxic], minlength=1 << BITS)
+            d0 += np.bincount(x[~toxic], minlength=1 << BITS)
+            parts.append((x.astype(np.int32), xo))
+        first += len(chunk)
+    del got
+    # Terms whose document frequencies differ: a two-proportion z, at least 3 documents.
     p = (d1 + d0) / len(y)
     z = np.abs(d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     z[(d1 + d0 < 3) | (z < 3.5)] = 0
     best = np.lexsort((np.arange(len(z)), -z))[:max_terms]
     best = np.sort(best[z[best] > 0])
     fm = FactorizationMachine(best, 0.0, np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (len(best), factors)))
-    x, xo = kept(terms, off, fm.table())
+    table = fm.table()
+    some = [kept(x, xo, table) for x, xo in parts]
+    parts.clear()
+    x = np.concatenate([a for a, _ in some])
+    xo = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in some]))]).astype(np.int64)
     weight = np.where(y == 1, 1 / rates.get(1, 1.0), 1 / rates.get(0, 1.0))
     weight /= weight.sum()
     rows = np.repeat(np.arange(len(y)), np.diff(xo))
@@ -131,11 +137,11 @@ def fit_toxicity(train: DataFrame, per_class: int = 3000, max_terms: int = 4096,
     return fm
 
 
-def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
-    """docs with score double (the probability that a text is toxic) and predicted int
+def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float = 0.3, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (only the columns of keep, if given) with score double (the probability that a text is toxic) and predicted int
     (score >= threshold).  Needs text; null and empty texts have no terms and get the
     machine's bias alone.  All columns are kept but earlier ones of those names."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in keep or docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*names).schema
     for c, t in (("score", "double"), ("predicted", "integer")):
         schema = schema.add(c, t)
@@ -146,6 +152,6 @@ def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float =
             score = np.zeros(b.num_rows)
             for lo, hi, terms, off in term_groups(b["text"]):
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(fm.logits(*kept(terms, off, table)), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)

@@ -52,14 +52,14 @@ def test_factorization_machine(spark):
             w.insert(rnd.randrange(len(w)), "Martians")
         docs.append((i, " ".join(w), int(kind == "both"), "x"))
     df = spark.createDataFrame(docs, "doc_id long, text string, label int, score string")
-    fm = toxicity.fit_toxicity(df.where("doc_id < 600"), epochs=300)
+    fm = toxicity.fit_toxicity(df, df.where("doc_id < 600"), epochs=300)
     got = {r.doc_id: r for r in toxicity.score_toxicity(df, fm).collect()}
     # Neither word alone is toxic: the pair is learned.
     held = [d for d in docs if d[0] >= 600]
     assert np.mean([got[d[0]].predicted == d[2] for d in held]) > 0.97
     odd = spark.createDataFrame([(-1, None, 0, ""), (-2, "", 0, ""), (-3, "é", 0, "")], df.schema)
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(odd, fm).collect())
-    assert toxicity.score_toxicity(odd, toxicity.fit_toxicity(df.where("false"))).count() == 3
+    assert toxicity.score_toxicity(odd, toxicity.fit_toxicity(df, df.where("false"))).count() == 3
     # The sums over pairs agree with the plain double loop.
     x = np.array([0, 1, 2])
     v = np.random.default_rng(0).normal(size=(3, 4))
@@ -96,7 +96,7 @@ def test_quality(spark):
     junk = lambda: rnd.choice([lambda: " | ".join(toy_text(rnd, "en", 6).split()), lambda: "buy " * 12, lambda: "$$$ ### @@@ !!!"])()
     docs = [(i, "\n".join((junk if bad else line)() for _ in range(rnd.randint(1, 20))), 1 - bad, "x") for i in range(400) for bad in [rnd.randint(0, 1)]]
     df = spark.createDataFrame(docs, "doc_id long, text string, label int, predicted string")
-    field = quality.fit_quality(df.where("doc_id < 250"))
+    field = quality.fit_quality(df, df.where("doc_id < 250"))
     got = {r.doc_id: r for r in quality.score_quality(df, field).collect()}
     assert np.mean([got[d[0]].predicted == d[2] for d in docs if d[0] >= 250]) > 0.97
     odd = spark.createDataFrame([(-1, None, 0, ""), (-2, "", 0, ""), (-3, "\n \n", 0, ""), (-4, "a\n" * 50_000, 0, "")], df.schema)
@@ -104,7 +104,7 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 for r in low) and low[0].score == low[1].score
     lines = quality.line_labels(df.where("doc_id = 0"), field).collect()
     assert len(lines) == docs[0][1].count("\n") + 1 and all(0 <= r.good <= 1 for r in lines)
-    assert quality.score_quality(odd, quality.fit_quality(df.where("false"))).count() == 4
+    assert quality.score_quality(odd, quality.fit_quality(df, df.where("false"))).count() == 4
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
