@@ -3,15 +3,20 @@
 Texts with the same set of shingles are one class.  Shingles are ordered by rarity
 over all documents, and a class emits only its prefix: if two sets reach the
 threshold, they share a prefix shingle.  Pairs that share one pass a length and a
-positional filter in Spark, a suffix filter on shingle counts by hash range, and one
-exact comparison of the two sets.
+positional filter in Spark, a suffix filter (a lower bound of the sets' Hamming
+distance from small sketches), and one exact comparison of the two sets, which only
+the survivors fetch.
 
 Groups of near copies would share a prefix shingle pairwise, so pairs are tested in
-two rounds.  First each class only with the smallest class of each of its prefix
-shingles (a star); the links found are contracted to components.  Then, for prefix
-shingles that still join different components, the classes outside of the shingle's
-largest component with all its classes of other components.  Pairs within one
-component are never tested, as they can't change it; no other pair is left out.
+rounds, and the links found are contracted to components before the next.  First each
+class only with the smallest class of each of its prefix shingles (a star).  Then, while
+testing all pairs left would cost much, each only with its neighbour in a random order
+of the classes of a prefix shingle, where that is in another component: a few such
+rounds, each linear in the postings and far smaller than the one before, join a group
+of near copies.  Last, for prefix shingles that still join different components, the
+classes outside of the shingle's largest component with all its classes of other
+components.  Pairs within one component are never tested, as they can't change it; no
+other pair is left out.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ from lexiduct.llm import words as W
 from lexiduct.llm.shared import components, written
 
 U = np.uint64
-HEAVY_ROWS = 1 << 20  # shingles gathered in a task before those seen often are told
-HEAVY_LEAST = 8
-RANGES = 16
+HEAVY_ROWS = 1 << 21  # shingles gathered in a task before those seen often are told
+HEAVY_LEAST = 2
+ROUNDS = 2  # of neighbours in random orders, at most
+BITS = 8  # longs of the short sketch that a join compares
+CHEAP = 8  # pairs a posting up to which all pairs are tested at once
 
 
 def sets_of(column: pa.Array, k: int):
@@ -47,20 +54,47 @@ def fingerprints(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return a.view(np.int64), b.view(np.int64)
 
 
+def parity_sketch(values: np.ndarray) -> bytes:
+    """A bit for each cell of the hash space: whether the set has an odd number of
+    shingles there.  Twice the cells that a set of n shingles has at most, a power of
+    two and 64 at least; a wider sketch folds to a narrower one."""
+    cells = max(64, 1 << int(len(values)).bit_length())
+    odd = np.bincount((values & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming_bound(a: bytes, b: bytes) -> int:
+    """The suffix filter: what two sets' symmetric difference has at least, since each
+    cell of unlike parity holds one of its members."""
+    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), fa, fb (fingerprints of the set)."""
+    """doc_id, n (set size), fa, fb (fingerprints of the set), sketch, and bits, a sketch
+    of a fixed BITS * 64 cells that joins can compare."""
 
     def run(batches):
         for b in batches:
             for lo, hi, v, off in sets_of(b["text"], k):
                 fa, fb = fingerprints(v, off)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(fa), pa.array(fb)], names=["doc_id", "n", "fa", "fb"])
+                sketch = pa.array([parity_sketch(v[a:z]) for a, z in zip(off[:-1], off[1:])], pa.binary())
+                row = np.repeat(np.arange(hi - lo), np.diff(off))
+                cells = np.bincount(row * (BITS * 64) + (v % U(BITS * 64)).astype(np.int64), minlength=(hi - lo) * BITS * 64) & 1
+                odd = np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64).reshape(hi - lo, BITS)
+                bits = pa.StructArray.from_arrays([pa.array(odd[:, i].copy()) for i in range(BITS)], names=[f"b{i}" for i in range(BITS)])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(fa), pa.array(fb), sketch, bits], names=["doc_id", "n", "fa", "fb", "sketch", "bits"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, fa long, fb long")
+    fields = ", ".join(f"b{i}: long" for i in range(BITS))
+    return _texts(docs).mapInArrow(run, f"doc_id long, n long, fa long, fb long, sketch binary, bits struct<{fields}>")
 
 
 def frequent_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +176,32 @@ def _overlap_possible(a: str, b: str, percent: int):
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
 
 
+def _bits_near(a: str, b: str, na: str, nb: str, percent: int):
+    """The suffix filter on the short sketches, within the condition of a join."""
+    apart = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, BITS)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    size = F.col(na).cast("long") + F.col(nb)
+    need = F.floor((size * percent + (99 + percent)) / (100 + percent))
+    return apart <= size - need * 2
+
+
+def close_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that the suffix filter can't rule out (classes: fa, n, sketch)."""
+    a = classes.select(F.col("fa").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    b = classes.select(F.col("fa").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch["nx"].to_numpy() + batch["ny"].to_numpy()
+            # union - intersection = nx + ny - 2 * intersection, with the least overlap allowed
+            most = sizes - 2 * -(-percent * sizes // (100 + percent))
+            near = np.array([hamming_bound(u, v) for u, v in zip(batch["sx"].to_pylist(), batch["sy"].to_pylist())], np.int64) <= most
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch["x"].filter(keep), batch["y"].filter(keep)], names=["x", "y"])
+
+    full = pairs.join(a, "x").join(b, "y").select("x", "y", "nx", "ny", "sx", "sy")
+    return full.mapInArrow(run, "x long, y long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets (fa, hashes binary) reach the threshold."""
     a = sets.select(F.col("fa").alias("x"), F.col("hashes").alias("hx"))
@@ -155,21 +215,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 u, v = np.frombuffer(hx[i].as_buffer(), U), np.frombuffer(hy[i].as_buffer(), U)
                 need = -(-percent * (len(u) + len(v)) // (100 + percent))
-                ok[i] = _suffix_bound(u, v) >= need and len(np.intersect1d(u, v, assume_unique=True)) >= need
+                ok[i] = len(np.intersect1d(u, v, assume_unique=True)) >= need
             yield pa.RecordBatch.from_arrays([batch["x"].filter(pa.array(ok)), batch["y"].filter(pa.array(ok))], names=["x", "y"])
 
     return full.mapInArrow(run, "x long, y long")
 
 
-def _suffix_bound(u: np.ndarray, v: np.ndarray) -> int:
-    """The suffix filter: both sets are cut at the same hashes, and a range adds at most
-    the smaller of its two counts to the overlap."""
-    cuts = (np.arange(1, RANGES, dtype=U)) << U(60)
-    cu = np.diff(np.concatenate([[0], np.searchsorted(u, cuts), [len(u)]]))
-    cv = np.diff(np.concatenate([[0], np.searchsorted(v, cuts), [len(v)]]))
-    return int(np.minimum(cu, cv).sum())
-
-
 def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """fa, hashes of the wanted classes, from one document of each (wanted: fa, doc_id)."""
     rows = _texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -183,43 +234,75 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "fa long, hashes binary").dropDuplicates(["fa"])
 
 
-def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n, fa, fb of every document, and links (x, y) between
+def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(documents, links): doc_id, n, fa, fb, sketch of every document, and links (x, y) between
     classes (by fa) that reach 100 * intersection >= percent * union, enough of them to
     give the right components: pairs that earlier links already join aren't tested."""
     docs_sets = written(document_sets(docs, k), "jac-docs")
-    classes = docs_sets.where("n > 0").groupBy("fa").agg(F.min("doc_id").alias("doc_id"))
+    classes = docs_sets.where("n > 0").groupBy("fa").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     heavy = frequent_shingles(docs, k, most_frequent)
     by = Window.partitionBy("token")
     posts = prefix_postings(docs, k, percent, heavy).withColumn("hub", F.min(F.struct("fa", "n", "pos")).over(by)).withColumn("last", F.max("fa").over(by))
     posts = written(posts.where(F.col("hub.fa") != F.col("last")).select("token", F.struct("fa", "n", "pos").alias("p"), "hub").distinct(), "jac-posts")
 
     star = posts.where(F.col("p.fa") != F.col("hub.fa")).where(_overlap_possible("p", "hub", percent))
-    star = written(star.select(F.col("hub.fa").alias("x"), F.col("p.fa").alias("y")).distinct(), "jac-star")
+    star = written(_pair(star, "hub.fa", "p.fa"), "jac-star")
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("x").alias("fa")).unionByName(pairs.select(F.col("y").alias("fa"))).distinct()
-        return written(_class_sets(docs, classes.join(used, "fa", "left_semi"), k), "jac-sets")
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = written(close_enough(pairs, classes, percent), "jac-near")
+        used = near.select(F.col("x").alias("fa")).unionByName(near.select(F.col("y").alias("fa"))).distinct()
+        sets = written(_class_sets(docs, classes.join(used, "fa", "left_semi"), k), "jac-sets")
+        return written(verified(near, sets, percent), "jac-links")
 
-    links = written(verified(star, sets_for(star), percent), "jac-links")
+    links = linked(star)
     comp = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "jac-cc"), "jac-comp")
 
-    # Second round: only prefix shingles that still join different components.
+    tested, found = star, [links]
+    for n in range(ROUNDS + 1):
+        mixed = _mixed(posts, comp)
+        size = mixed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("in_big")).alias("out"))
+        cost = size.agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("postings")).first()
+        if n == ROUNDS or (cost.pairs or 0) <= CHEAP * (cost.postings or 0):
+            break
+        order = Window.partitionBy("token").orderBy(F.xxhash64("p.fa", "token", F.lit(n)), "p.fa")
+        near = mixed.select("p", "comp", F.lag(F.struct("p", "comp")).over(order).alias("q")).where(F.col("comp") != F.col("q.comp"))
+        near = _pair(near.where(_overlap_possible("p", "q.p", percent)), "p.fa", "q.p.fa")
+        near = written(near.join(tested, ["x", "y"], "left_anti"), "jac-round")
+        more = linked(near)
+        tested = tested.unionByName(near)
+        if more.isEmpty():
+            break
+        found.append(more)
+        known = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = written(components(known.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "jac-cc"), "jac-comp")
+
+    mixed = mixed.join(classes.select(F.col("fa").alias("_fa"), "bits"), F.col("p.fa") == F.col("_fa")).select("token", "p", "comp", "in_big", "bits")
+    small = mixed.where("not in_big").select("token", F.col("p").alias("s"), F.col("comp").alias("sc"), F.col("bits").alias("sbits"))
+    rest = mixed.join(small, "token").where(F.col("comp") != F.col("sc"))
+    rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent)).where(_bits_near("bits", "sbits", "p.n", "s.n", percent))
+    rest = written(_pair(rest, "p.fa", "s.fa").join(tested, ["x", "y"], "left_anti"), "jac-rest")
+    found.append(linked(rest))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return docs_sets, out
+
+
+def _pair(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+
+
+def _mixed(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    """token, p, comp, in_big: the postings of shingles that still join different
+    components, and whether they are of the shingle's largest one."""
     c = comp.select(F.col("node").alias("fa"), "component")
     at = posts.select("token", "p", F.col("p.fa").alias("fa")).join(c, "fa", "left").select("token", "p", F.coalesce("component", "fa").alias("comp"))
     sizes = at.groupBy("token", "comp").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = written(at.join(largest, "token").select("token", "p", "comp", (F.col("comp") == F.col("big")).alias("in_big")), "jac-mixed")
-    small = mixed.where("not in_big").select("token", F.col("p").alias("s"), F.col("comp").alias("sc"))
-    rest = mixed.join(small, "token").where(F.col("comp") != F.col("sc"))
-    rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent))
-    rest = rest.select(F.least("p.fa", "s.fa").alias("x"), F.greatest("p.fa", "s.fa").alias("y")).distinct()
-    rest = written(rest.join(star, ["x", "y"], "left_anti"), "jac-rest")
-    links = links.unionByName(written(verified(rest, sets_for(rest), percent), "jac-links"))
-    return docs_sets, links
+    return written(at.join(largest, "token").select("token", "p", "comp", (F.col("comp") == F.col("big")).alias("in_big")), "jac-mixed")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 200_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000) -> DataFrame:
     """For docs (doc_id, text; other columns are ignored): doc_id, n_shingles,
     component_id, one row for each row of docs.
 
