@@ -191,5 +191,5 @@ _encoders: dict[str, WordBpe] = {}
 def encoder(path: str) -> WordBpe:
     """This process's encoder of a file; its cache lives as long as the worker."""
     if path not in _encoders:
-        _encoders[path] = WordBpe(path, cache_words=1_500_000)
+        _encoders[path] = WordBpe(path, cache_words=600_000)
     return _encoders[path]
