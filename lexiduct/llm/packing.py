@@ -6,7 +6,8 @@ are rows that tasks evolve on their own, and between epochs the elites of a prob
 migrate around the ring of its islands (a shuffle of one row an island).  The worst
 bins of each solved problem are opened again and their pieces go to the next level,
 which has far fewer problems, until one problem is left; so what bins stay badly
-filled doesn't grow with the number of problems.
+filled doesn't grow with the number of problems.  A problem has tokens for several
+times the bins that it reopens, so every level is smaller than the one before.
 """
 
 from __future__ import annotations
@@ -177,15 +178,18 @@ def pack(
     each other from 0 without gaps, longest first.
 
     pieces is read several times, so give a written table.  An empty table gives no
-    rows.  Problems have about problem_items pieces whatever the input's size; at each
-    level the `reopen` worst bins of a problem are opened again for the next."""
+    rows.  Problems have about problem_items pieces whatever the input's size, and more
+    where pieces are short: enough to fill 4 * reopen sequences, so at most about
+    8 * reopen * max_len pieces.  At each level the `reopen` worst bins of a problem are
+    opened again for the next, which so has a quarter of the tokens at most."""
     names = pieces.columns
+    least = 4 * max(1, reopen) * max_len
     numbered = pieces.withColumn("_mid", F.monotonically_increasing_id())
     done = [numbered.where(F.col("length") >= max_len).select(*names, (-1 - F.col("_mid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     open_ = numbered.where(F.col("length") < max_len).select(F.struct(*names).alias("row"), F.col("length").cast("int").alias("n"), "_mid")
-    n, level = open_.count(), 0
+    (n, tokens), level = _size(open_), 0
     while n:
-        problems = -(-n // problem_items)
+        problems = max(1, min(-(-n // problem_items), tokens // least))
         g = F.pmod(F.xxhash64("_mid", F.lit(level)), F.lit(problems))
         # A problem's rows are bounded (about problem_items, dealt by hash of a unique number).
         held = written(
@@ -200,13 +204,19 @@ def pack(
         seq = F.lit(level << 56) + F.col("g") * F.lit(1 << 24) + F.col("bin")
         done.append(packed.where(stays).select("row.*", seq.cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset")))
         open_ = packed.where(~stays).select("row", "n", "_mid")
-        n, level = (0, level) if final else (open_.count(), level + 1)
+        (n, tokens), level = (0, 0) if final else _size(open_), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def _size(open_: DataFrame) -> tuple[int, int]:
+    """Pieces and tokens."""
+    n, tokens = open_.agg(F.count("*"), F.sum("n")).first()
+    return n, tokens or 0
+
+
 def _islands(problems: DataFrame, cap: int, islands: int, epochs: int, population: int, generations: int, level: int) -> DataFrame:
     """The best packing of each problem: g, and for each item bin, offset and the rank
     of its bin from the worst filled (0)."""

@@ -55,6 +55,27 @@ def test_packed_documents(spark):
     assert packing.packed_documents(df.where("false"), tokenizer_path()).collect() == []
 
 
+@pytest.mark.parametrize("n,tiny,cap", [(2001, 1, 4096), (5000, 1, 4096), (100_000, 3, 4096)])
+def test_packing_of_many_tiny_pieces_ends(spark, monkeypatch, n, tiny, cap):
+    steps, write = [], packing.written
+
+    def counted(df, tag):
+        steps.append(tag)
+        assert len(steps) <= 40, "the levels don't shrink"
+        return write(df, tag)
+
+    monkeypatch.setattr(packing, "written", counted)
+    # One piece of `tiny` is an end id alone, as of a null text; the others are like documents.
+    length = F.when(F.col("id") % tiny == 0, 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(900)) + 20)
+    pieces = write(spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), length.cast("long").alias("length")), "t")
+    packed = write(packing.pack(pieces, cap), "t")
+    assert packed.select("doc_id").distinct().count() == packed.count() == n
+    seqs = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("n"), F.count("*").alias("m"))
+    assert seqs.where(f"fill <> end or n <> m or fill > {cap}").isEmpty()
+    tokens = packed.agg(F.sum("length")).first()[0]
+    assert seqs.count() <= -(-tokens // cap) * 1.01 + 1
+
+
 SPACE_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
