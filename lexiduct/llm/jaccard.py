@@ -74,13 +74,18 @@ def hamming_bound(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
+def text_hash():
+    """Tells texts apart where ids don't; null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("text_hash"))
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), fa, fb (fingerprints of the set), sketch, and bits, a sketch
-    of a fixed BITS * 64 cells that joins can compare."""
+    """doc_id, text_hash, n (set size), fa, fb (fingerprints of the set), sketch, and bits,
+    a sketch of a fixed BITS * 64 cells that joins can compare."""
 
     def run(batches):
         for b in batches:
@@ -91,10 +96,10 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
                 cells = np.bincount(row * (BITS * 64) + (v % U(BITS * 64)).astype(np.int64), minlength=(hi - lo) * BITS * 64) & 1
                 odd = np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64).reshape(hi - lo, BITS)
                 bits = pa.StructArray.from_arrays([pa.array(odd[:, i].copy()) for i in range(BITS)], names=[f"b{i}" for i in range(BITS)])
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(fa), pa.array(fb), sketch, bits], names=["doc_id", "n", "fa", "fb", "sketch", "bits"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), b["text_hash"].slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(fa), pa.array(fb), sketch, bits], names=["doc_id", "text_hash", "n", "fa", "fb", "sketch", "bits"])
 
     fields = ", ".join(f"b{i}: long" for i in range(BITS))
-    return _texts(docs).mapInArrow(run, f"doc_id long, n long, fa long, fb long, sketch binary, bits struct<{fields}>")
+    return _texts(docs).mapInArrow(run, f"doc_id long, text_hash long, n long, fa long, fb long, sketch binary, bits struct<{fields}>")
 
 
 def frequent_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +227,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """fa, hashes of the wanted classes, from one document of each (wanted: fa, doc_id)."""
-    rows = _texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    """fa, hashes of the wanted classes, from one document of each (wanted: fa, doc_id,
+    text_hash).  Only a class without any id is found by the hash of a text."""
+    lone = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("lone")
+    texts, keys = _texts(docs).select("doc_id", "text", lone), wanted.select("doc_id", lone).distinct()
+    rows = texts.join(keys, texts["doc_id"].eqNullSafe(keys["doc_id"]) & texts["lone"].eqNullSafe(keys["lone"]), "left_semi")
 
     def run(batches):
         for b in batches:
@@ -235,11 +243,11 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n, fa, fb, sketch of every document, and links (x, y) between
+    """(documents, links): doc_id, text_hash, n, fa, fb, sketch of every document, and links (x, y) between
     classes (by fa) that reach 100 * intersection >= percent * union, enough of them to
     give the right components: pairs that earlier links already join aren't tested."""
     docs_sets = written(document_sets(docs, k), "jac-docs")
-    classes = docs_sets.where("n > 0").groupBy("fa").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    classes = docs_sets.where("n > 0").groupBy("fa").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     heavy = frequent_shingles(docs, k, most_frequent)
     by = Window.partitionBy("token")
     posts = prefix_postings(docs, k, percent, heavy).withColumn("hub", F.min(F.struct("fa", "n", "pos")).over(by)).withColumn("last", F.max("fa").over(by))
@@ -310,12 +318,25 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent
     holds the distinct runs of k words, or the whole sequence if shorter.  Two documents
     link when 100 * intersection >= percent * union; component_id is the smallest doc_id
     reachable by links.  Null, empty and blank texts have no shingles and link with
-    nothing; a null doc_id never is a component of others."""
+    nothing.  A document with a null doc_id links like any other, but is the component of
+    none; component_id is null where no document with an id is reachable."""
+    out = similar_documents(docs, k, percent, most_frequent)
+    named = F.when(F.col("component").isNull(), F.col("doc_id")).when(~F.col("component.lone"), F.col("component.id"))
+    return out.select("doc_id", "n_shingles", named.alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000, one_id: bool = True) -> DataFrame:
+    """doc_id, text_hash, n_shingles, fa, component of each row of docs: component is the
+    first class that links reach, by (lone, id, class): lone if no document of the class
+    has an id, id the smallest of its doc_ids (else fa), and class its fa.  It is null
+    for texts without shingles.  With one_id, rows that share an id are one document and
+    so connect their classes (class is 0 then where there is an id)."""
     rows, links = similar_classes(docs, k, percent, most_frequent)
     # Classes are told apart by both fingerprints; links name them by the first.
     classes = rows.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    edges = links.join(classes.select(F.col("fa").alias("x"), F.col("rep").alias("a")), "x").join(classes.select(F.col("fa").alias("y"), F.col("rep").alias("b")), "y")
-    comp = components(edges.where("a is not null and b is not null").select("a", "b"), "jac-cc")
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, ["fa", "fb"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    name = F.lit(0).cast("long") if one_id else F.col("fa")
+    classes = classes.select("fa", "fb", F.struct(F.col("rep").isNull().alias("lone"), F.coalesce("rep", "fa").alias("id"), name.alias("class")).alias("node"))
+    edges = links.join(classes.select(F.col("fa").alias("x"), F.col("node").alias("a")), "x").join(classes.select(F.col("fa").alias("y"), F.col("node").alias("b")), "y")
+    comp = components(edges.select("a", "b"), "jac-cc")
+    named = classes.join(comp, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component"))
+    return rows.join(named, ["fa", "fb"], "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "fa", "component")

@@ -61,8 +61,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int) -> tuple[DataF
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """Connected components of edges (a long, b long) -> (node, component), the
-    component being its smallest node.  Nodes without an edge are not returned.
+    """Connected components of edges (a, b: longs or structs without nulls) -> (node,
+    component), the component being its smallest node.  Nodes without an edge are not returned.
 
     Each round maps every node to its smallest neighbour (or itself), shortens
     the pointers once, and contracts the graph to the edges left between

@@ -128,6 +128,16 @@ def test_jaccard_repeats_and_empty(spark):
     assert jaccard.jaccard_groups(df.where("false")).collect() == []
 
 
+def test_jaccard_links_by_documents_without_an_id(spark):
+    w = ["w%d" % i for i in range(40)]
+    end, both, other = w[:37] + list("abc"), list("def") + w[3:37] + list("abc"), ["v%d" % i for i in range(40)]
+    # Each reaches the threshold only with the next: 1 - null - 2; null - null alone.
+    docs = [(d, " ".join(x)) for d, x in [(1, w), (None, end), (2, both), (None, ["p", *other]), (None, ["q", *other]), (3, ["far", "away"])]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_groups(df, 4, 80).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (3, 3)], key=str)
+
+
 def test_hamming_bound_is_a_bound():
     rng = np.random.default_rng(0)
     for n, m, share in ((10, 12, 5), (500, 700, 480), (3, 900, 2), (64, 64, 64)):
