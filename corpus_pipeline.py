@@ -7,10 +7,15 @@ that its operator rejects:
 - language: texts without a letter, or in no learned language with at least
   LEAST_POSTERIOR (null and empty texts go here);
 - toxicity: texts predicted toxic;
-- near duplicates: all but the smallest doc_id of each group, and repeats of a row;
+- near duplicates: all but one row of each group, that with the smallest doc_id (one
+  without an id only where none has one; then by hashes of set and text), and repeats
+  of a doc_id and text;
 - decontamination: texts of which benchmark windows cover a twentieth or more;
 - packing: nothing; every piece of every document is in one sequence.
 
+Rows are judged by their own text: one that shares its doc_id with other texts, or has
+none, is kept or dropped like any other.
+
 Models are fitted on the tables of sf_dir by their operators' documented samples.
 """
 
@@ -42,18 +47,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    groups = jaccard.jaccard_groups(docs, k=5, percent=80)
-    keep = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    # Rows that repeat an id are one document.
-    ids = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return ids.unionByName(kept.where("doc_id is null"))
+    rows = jaccard.similar_documents(docs, k=5, percent=80, one_id=False)
+    first = rows.where((F.col("fa") == F.col("component.class")) & F.col("doc_id").eqNullSafe(F.when(~F.col("component.lone"), F.col("component.id"))))
+    first = first.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
+    keep = first.unionByName(rows.where("component is null").select("doc_id", "text_hash")).distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]) & (jaccard.text_hash() == keep["text_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    bad = decontam.decontamination_digest(docs, table(ready(spark), sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*names)
+    # What a text holds doesn't depend on its id.
+    texts = docs.select(jaccard.text_hash().alias("doc_id"), "text")
+    bad = decontam.decontamination_digest(texts, table(ready(spark), sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, jaccard.text_hash() == F.col("bad"), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,20 @@ def test_stages_and_run(spark, tmp_path):
     assert by == {i: len(encoder(tokenizer_path()).whole(text[i])) + 1 for i in clean}
 
 
+def test_repeated_and_missing_ids(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda n=30: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e, item, other = (text() for _ in range(7))
+    rows = [(5, a), (5, b), (5, b), (6, a), (None, b), (None, c), (None, c), (None, c + " end"), (7, d), (9, d.upper()), (7, d + " end"), (9, e)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], ", ".join(f"{n} {t}" for n, t in zip(COLUMNS, ["long", "string", "string", "string", "long"])))
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, P.written(make([*rows, (None, ""), (3, None)]), "t"), str(tmp_path)).collect()]
+    assert len(got) == 7 and {(5, a), (5, b), (9, e), (None, ""), (3, None)} <= set(got)
+    assert len({(None, c), (None, c + " end")} & set(got)) == 1 and len({(7, d), (7, d + " end")} & set(got)) == 1
+    left = P.drop_contaminated(spark, make([(5, item), (5, other), (None, item), (None, a), (8, None)]), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, other), (None, a), (8, None)], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     make(spark, tmp_path / "full")
     for t in ("documents", "labels", "benchmark"):
