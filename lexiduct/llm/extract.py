@@ -156,7 +156,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] in ("ul", "ol", "table", "div", "section", "article", "dl", "select"):
                     break
         if name in CONTAINERS:
-            boiler, comment, main_name, hidden = _named(tag) if " " in tag else (False,) * 4
+            boiler, comment, main_name, hidden = _named(tag) if len(tag) > len(name) + 2 else (False,) * 4
             # A header of the article itself holds its headline.
             own = name in BOILER_TAGS and not (name == "header" and any(x[0] == "article" for x in stack))
             if name == "body" or name in HEADINGS:

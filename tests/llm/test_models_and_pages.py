@@ -126,6 +126,12 @@ def test_extraction(spark):
     assert got[4].n_chars == len("long words here " * 30_000) - 1 and got[6].text.startswith("A < B < C")
 
 
+def test_names_behind_any_white_space():
+    for gap in (" ", "\n", "\t", "\r\n", "\f"):
+        ad, note, plain = extract.blocks_of(f'<div{gap}class="sidebar">Buy it.</div><div{gap}id="comments">I like it.</div><div>Text.</div>')
+        assert (ad.boiler, note.comment, plain.boiler, plain.comment) == (True, True, False, False)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rnd = random.Random(4)
     pages = [(i, f"http://x/{i}", rnd.choice([None, "", "same", "é" * 500, "<p>%d</p>" % i, "\r\n\r\nContent-Length: 3\r\n\r\n"]), "x") for i in rnd.sample(range(500), 80)] + [(900, None, "big " * 200_000, "x"), (901, "a b\r\nX: y", "tail", "x")]
