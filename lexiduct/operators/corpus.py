@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiduct.functions import text as T
 
-HEAD = 3
+PIVOTS = 255
 
 
 def tokens(texts: DataFrame, col: str = "text") -> DataFrame:
@@ -19,8 +19,10 @@ def build_corpus(values: DataFrame, blacklist: DataFrame | None = None) -> DataF
     """word: the distinct accepted normal forms of values (value string), without those on
     the blacklist (word string).  Raw values are made distinct before they are
     normalised, so each costs its regular expressions once; the shuffles carry
-    pre-aggregated keys."""
-    words = values.select("value").distinct().select(T.normalise("value").alias("word")).where(T.accept("word")).distinct()
+    pre-aggregated keys.  The policy is a column, not a filter: a filter would be pushed
+    below the projection and normalise once more."""
+    forms = values.select("value").distinct().select(T.normalise("value").alias("word")).withColumn("ok", T.accept("word"))
+    words = forms.groupBy("word").agg(F.max("ok").alias("ok")).where("ok").select("word")
     return words.join(blacklist.select("word").distinct(), "word", "left_anti") if blacklist is not None else words
 
 
@@ -51,19 +53,32 @@ def ordered(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.sortWithinPartitions("word")
 
 
+def pivots(rows: DataFrame, col: str) -> list[str]:
+    """PIVOTS values of a column at most, ascending: those with the least hashes, so a
+    random choice in one pass, the same at each."""
+    few = rows.select(F.col(col).alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(PIVOTS)
+    return sorted((r.v for r in few.collect()), key=str.encode)
+
+
+def stretch(col: str, ascending: list[str]):
+    """The number of pivots not above a value: stretches of the byte order that hold about
+    as many of the rows that the pivots were chosen from."""
+    return F.size(F.filter(F.lit(ascending).cast("array<string>"), lambda p: p <= F.col(col)))
+
+
 def positions(corpus: DataFrame) -> DataFrame:
     """word, line (from 0) and byte offset in the newline-delimited sorted file.  Numbering
-    runs within the words of a common head, and the heads' totals (one row a head) are
-    added up apart; no task sees the whole corpus."""
-    h = F.substring("word", 1, HEAD)
+    runs within stretches between random pivots, and the stretches' totals (one row each)
+    are added up apart; no task sees the whole corpus, whatever its words begin with."""
+    at = stretch("word", pivots(corpus, "word"))
     size = (F.octet_length("word") + 1).cast("long")
-    rows = corpus.select("word", h.alias("head"), size.alias("size"))
-    totals = rows.groupBy("head").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
-    inner = Window.partitionBy("head").orderBy("word")
+    rows = corpus.select("word", at.alias("part"), size.alias("size"))
+    totals = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
+    inner = Window.partitionBy("part").orderBy("word")
     run = rows.withColumn("line", F.row_number().over(inner) - 1).withColumn("off", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    return run.join(base, "head").select("word", (F.col("line") + F.col("n0")).cast("long").alias("line"), (F.col("off") + F.col("b0")).cast("long").alias("offset"))
+    return run.join(base, "part").select("word", (F.col("line") + F.col("n0")).cast("long").alias("line"), (F.col("off") + F.col("b0")).cast("long").alias("offset"))
 
 
 def skip_index(corpus: DataFrame, stride: int = 4096) -> DataFrame:
@@ -73,15 +88,13 @@ def skip_index(corpus: DataFrame, stride: int = 4096) -> DataFrame:
 
 def index_seek(queries: DataFrame, anchors: DataFrame) -> DataFrame:
     """query, anchor, offset: the greatest anchor not above the query, or (null, 0).  An
-    as-of join without a range join: anchors of the query's head by an equi-join, and
-    where none of those fits, the last anchor of an earlier head (one row a head)."""
-    head = lambda c: F.substring(c, 1, 1)
-    a = anchors.select(head("word").alias("head"), F.struct("word", "offset").alias("a"))
-    q = queries.select("query").distinct().withColumn("head", head("query"))
-    near = q.join(a, "head", "left").groupBy("query", "head").agg(F.max(F.when(F.col("a.word") <= F.col("query"), F.col("a"))).alias("near"))
-    heads = a.groupBy("head").agg(F.max("a").alias("top")).unionByName(q.select("head").distinct().withColumn("top", F.lit(None).cast(a.schema["a"].dataType)))
-    heads = heads.groupBy("head").agg(F.max("top").alias("top"))
-    earlier = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("head", F.last("top", ignorenulls=True).over(earlier).alias("far"))
-    out = near.join(heads, "head").select("query", F.coalesce("near", "far").alias("hit"))
-    return out.select("query", F.col("hit.word").alias("anchor"), F.coalesce("hit.offset", F.lit(0)).cast("long").alias("offset"))
+    as-of join without a range join: anchors and queries go together to stretches between
+    anchors, each of which begins with one, and there the last anchor before a query in
+    byte order is carried to it by a window.  No pair of query and anchor is formed."""
+    at = pivots(anchors, "word")
+    a = anchors.select(F.col("word").alias("key"), F.lit(0).alias("kind"), F.struct("word", "offset").alias("a"))
+    q = queries.select(F.col("query").alias("key")).where("key is not null").distinct()
+    rows = a.unionByName(q.select("key", F.lit(1).alias("kind"), F.lit(None).cast(a.schema["a"].dataType).alias("a")))
+    order = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("part", stretch("key", at)).withColumn("hit", F.last("a", ignorenulls=True).over(order)).where("kind = 1")
+    return out.select(F.col("key").alias("query"), F.col("hit.word").alias("anchor"), F.coalesce("hit.offset", F.lit(0)).cast("long").alias("offset"))

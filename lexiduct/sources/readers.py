@@ -49,7 +49,9 @@ def csv_terms(spark: SparkSession, path: str, column: str, blacklist: DataFrame
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "[\r\n]+$", "")).alias("value"))
+    """value: the lines of a text file without their line ends (carriage returns before a
+    line feed too); spaces stay."""
+    return spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"\r+$", "").alias("value"))
 
 
 def read_pinned(spark: SparkSession, path: str) -> DataFrame:

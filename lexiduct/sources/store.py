@@ -25,6 +25,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiduct.operators import corpus as C
 from lexiduct.operators import setops, usage
@@ -110,12 +111,15 @@ class Store:
         version = version or self.current()
         return self.manifest(version).word_count if version else 0
 
-    def write_version(self, words: DataFrame, version: str, source: str, mode: str, parent: str = "") -> Manifest:
-        """Writes a sorted corpus, then its manifest.  The count comes from the written files."""
+    def write_version(self, words: DataFrame, version: str, source: str, mode: str, parent: str = "", stride: int = 0) -> Manifest:
+        """Writes a sorted corpus, if asked its skip index, then its manifest.  The count comes
+        from the written files."""
         home = self.version_dir(version)
         if home.exists():
             shutil.rmtree(home)
         C.ordered(words.select("word")).write.parquet(str(home / "corpus"))
+        if stride:
+            C.skip_index(self.spark.read.schema("word string").parquet(str(home / "corpus")), stride).withColumn("stride", F.lit(stride)).write.parquet(str(home / "skip_index"))
         m = Manifest(version, source, self.spark.read.schema("word string").parquet(str(home / "corpus")).count(), parent, mode)
         _replace_text(home / "manifest.json", json.dumps(asdict(m), indent=2))
         return m
@@ -127,13 +131,27 @@ class Store:
             self.set_current("v1")
         return self.current()
 
-    def bootstrap(self, values: DataFrame, source: str = "", version: str | None = None) -> Manifest:
+    def skip_index(self, version: str | None = None) -> DataFrame:
+        """word, offset, stride: the anchors stored beside a version."""
+        path = self.version_dir(version or self.current()) / "skip_index"
+        if not path.exists():
+            raise FileNotFoundError(f"{path.parent.name} has no skip index")
+        return self.spark.read.schema("word string, offset long, stride int").parquet(str(path))
+
+    def export_text(self, to: str, version: str | None = None) -> None:
+        """The corpus as text files, a word a line, which read in the order of their names
+        give it sorted."""
+        C.ordered(self.words(version)).select("word").write.mode("overwrite").text(to, lineSep="\n")
+
+    def bootstrap(self, values: DataFrame, source: str = "", version: str | None = None, parent: str | None = None, mode: str = "bootstrap", stride: int = 0) -> Manifest:
         """Builds a corpus of raw values as a new version; refuses to overwrite one, and
-        makes it current only where nothing is."""
+        makes it current only where nothing is.  Without a version the next one is taken,
+        and its parent, unless given, is the current one."""
+        parent = parent if parent is not None else "" if version else self.current() or ""
         version = version or self.next_version()
         if self.version_dir(version).exists():
             raise FileExistsError(f"{version} exists")
-        m = self.write_version(C.build_corpus(values), version, source, "bootstrap")
+        m = self.write_version(C.build_corpus(values), version, source, mode, parent, stride)
         if self.current() is None:
             self.set_current(version)
         return m
@@ -285,8 +303,11 @@ class Store:
 
     def restore(self, archive: str) -> str:
         """Replaces the project by a backup.  Names that leave the folder are refused, and a
-        backup without a readable current version leaves all as it was."""
+        backup without a readable current version, or one that can't take its place, leaves
+        all as it was."""
         new, old = self.home.with_name(self.project + ".restore"), self.home.with_name(self.project + ".before")
+        if old.exists() and not self.home.exists():
+            os.replace(old, self.home)  # an earlier restore was cut off between its renames
         for p in (new, old):
             shutil.rmtree(p, ignore_errors=True)
         new.mkdir()
@@ -303,7 +324,14 @@ class Store:
             shutil.rmtree(new, ignore_errors=True)
             raise
         os.replace(self.home, old)
-        os.replace(new, self.home)
+        try:
+            os.replace(new, self.home)
+            self.words(version).limit(1).collect()  # it can be read
+        except BaseException:
+            shutil.rmtree(self.home, ignore_errors=True)
+            os.replace(old, self.home)
+            shutil.rmtree(new, ignore_errors=True)
+            raise
         shutil.rmtree(old, ignore_errors=True)
         self.spark.catalog.refreshByPath(str(self.home))
         return version
@@ -316,7 +344,15 @@ class Projects:
         self.spark, self.root = spark, root
         self.create(DEFAULT_PROJECT)
 
-    def create(self, name: str) -> Store:
+    def create(self, name: str, exists_ok: bool = True) -> Store:
+        """A project's store; unless exists_ok, one that is there already raises."""
+        if not exists_ok and valid_project(name) and (Path(self.root) / name).exists():
+            raise FileExistsError(f"the project {name!r} exists")
+        return Store(self.spark, self.root, name)
+
+    def get(self, name: str) -> Store:
+        if name not in self.names():
+            raise FileNotFoundError(f"no project {name!r}")
         return Store(self.spark, self.root, name)
 
     def names(self) -> list[str]:
