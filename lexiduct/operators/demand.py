@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOWS = "prefix string, window_us long, hits long, last_us long, crossed_id long, crossed_us long"
@@ -80,6 +80,38 @@ def ledger_windows(events: DataFrame, threshold: int = 20, window_s: int = 60) -
     )
 
 
+def ledger_hits(events: DataFrame, window_s: int = 60, keys: tuple[str, ...] = ("query",)) -> DataFrame:
+    """events (ts, event_id and the keys; other columns stay) with window_us and hit: the
+    start of the event's anchored window and its number in it.  Keys are counted in
+    parallel, streamed as in ledger_windows."""
+    span = int(window_s * 1_000_000)
+    rows = events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_key", F.to_json(F.struct(*keys)))
+    rows = rows.where("_us is not null").repartition("_key").sortWithinPartitions("_key", "_us", "event_id")
+    names = events.columns
+
+    def run(batches):
+        key, start, hits = None, 0, 0
+        for b in batches:
+            us = b["_us"].to_numpy()
+            codes = b["_key"].dictionary_encode()
+            idx, known = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            window, number = np.zeros(len(us), np.int64), np.zeros(len(us), np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], idx[1:] != idx[:-1], [True]])) if len(idx) else []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                at = int(lo)
+                if known[idx[lo]] != key:
+                    key, start, hits = known[idx[lo]], int(us[lo]), 0
+                while at < hi:
+                    if us[at] - start > span:
+                        start, hits = int(us[at]), 0
+                    end = at + int(np.searchsorted(us[at:hi], start + span, "right"))
+                    window[at:end], number[at:end] = start, np.arange(hits + 1, hits + 1 + end - at)
+                    hits, at = hits + end - at, end
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(window), pa.array(number)], names=[*names, "window_us", "hit"])
+
+    return rows.mapInArrow(run, events.schema.add("window_us", "long").add("hit", "long"))
+
+
 KINDS = [pa.string(), *[pa.int64()] * 5]
 NAMES = ["prefix", "window_us", "hits", "last_us", "crossed_id", "crossed_us"]
 
@@ -100,6 +132,31 @@ def sweep(state: DataFrame, now, idle_ttl_s: int = 600) -> DataFrame:
     return state.where(F.unix_micros(F.lit(now).cast("timestamp") if not hasattr(now, "cast") else now.cast("timestamp")) - F.unix_micros("last_seen") <= int(idle_ttl_s * 1_000_000))
 
 
+def write_snapshot(state: DataFrame, path: str, number: int) -> str:
+    """Writes a ledger's state as path/snapshot=<number>.  Spark's committer puts a marker
+    beside complete files only, and readers take the highest number that has one."""
+    to = f"{path.rstrip('/')}/snapshot={number}"
+    state.select("prefix", "hits", "window_start", "last_seen", "promoted").write.mode("overwrite").parquet(to)
+    state.sparkSession.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{path.rstrip('/')}/done/snapshot={number}")
+    return to
+
+
+def read_snapshot(spark: SparkSession, path: str, now=None, idle_ttl_s: int = 600) -> DataFrame:
+    """The state of the last complete snapshot without counters that are idle at `now` (a
+    timestamp; None keeps all).  Where nothing was written, an empty state: a cold start."""
+    schema = "prefix string, hits long, window_start timestamp, last_seen timestamp, promoted boolean"
+    try:
+        last = spark.read.schema("n long").option("recursiveFileLookup", True).parquet(f"{path.rstrip('/')}/done").agg(F.max("n")).first()[0]
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = None
+    if last is None:
+        return spark.createDataFrame([], schema)
+    state = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/snapshot={last}")
+    return state if now is None else sweep(state, now, idle_ttl_s)
+
+
 def mark_promoted(state: DataFrame, prefixes: DataFrame, promoted: bool = True) -> DataFrame:
     """Sets or clears the flag of the given prefixes (prefix string)."""
     hit = prefixes.select("prefix").distinct().withColumn("_hit", F.lit(True))

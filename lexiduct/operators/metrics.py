@@ -65,14 +65,11 @@ def snapshot_json(stats: DataFrame) -> DataFrame:
 
 
 # The families of the text exposition and their kinds.
-ROUTE_FAMILIES = (
-    ("requests_total", "counter", "Requests by route.", "count"),
-    ("request_errors_total", "counter", "Requests answered with a status from 400.", "errors"),
-    ("request_ms_sum", "counter", "Milliseconds spent by route.", "sum_ms"),
-    ("request_ms_p50", "gauge", "Median latency of recent requests.", "p50"),
-    ("request_ms_p95", "gauge", "95th percentile of recent requests.", "p95"),
-    ("request_ms_p99", "gauge", "99th percentile of recent requests.", "p99"),
+COUNT_FAMILIES = (
+    ("http_requests_total", "counter", "Requests by route.", "count"),
+    ("http_request_errors_total", "counter", "Responses with a status from 400.", "errors"),
 )
+QUANTILES = (("0.5", "p50"), ("0.95", "p95"), ("0.99", "p99"))
 CORPUS_FAMILIES = (
     ("corpus_words", "gauge", "Words of the live corpus.", "corpus_words"),
     ("hot_words", "gauge", "Words resident in the hot set.", "hot_words"),
@@ -85,19 +82,49 @@ CORPUS_FAMILIES = (
 )
 
 
-def prometheus(stats: DataFrame, live: DataFrame | None = None, prefix: str = "lexiduct") -> str:
-    """The text exposition (version 0.0.4) of route statistics with percentiles, sorted by
-    route, and of one row of live statistics.  One row a route comes to the driver."""
-    lines = []
-    rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: r["route"])
-    label = lambda s: s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
-    for name, kind, text, col in ROUTE_FAMILIES:
-        lines += [f"# HELP {prefix}_{name} {text}", f"# TYPE {prefix}_{name} {kind}"]
-        lines += [f'{prefix}_{name}{{route="{label(r["route"])}"}} {r[col]}' for r in rows if r.get(col) is not None]
+def prometheus(stats: DataFrame, live: DataFrame | None = None, prefix: str = "lexiduct", statuses: DataFrame | None = None, uptime_s: int | None = None) -> str:
+    """The text exposition (version 0.0.4): route statistics with percentiles and the
+    responses by status (statuses: as status_histogram gives them), sorted by method and
+    route, one row of live statistics, and the uptime.  A method is a label where the
+    tables have one.  One row a route, or a route's status, comes to the driver."""
+    out: list[str] = []
+    quoted = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    place = lambda r: (r.get("method") or "", r["route"])
+
+    def family(name: str, kind: str, text: str) -> str:
+        out.extend((f"# HELP {prefix}_{name} {text}", f"# TYPE {prefix}_{name} {kind}"))
+        return f"{prefix}_{name}"
+
+    def sample(name: str, r: dict, value, **more) -> None:
+        labels = {k: r[k] for k in ("method", "route") if k in r} | more
+        text = f"{value:.6g}" if isinstance(value, float) else value
+        out.append(f"{name}{{{','.join(f'{k}={quoted(v)}' for k, v in labels.items())}}} {text}")
+
+    rows = sorted((r.asDict() for r in stats.collect()), key=place)
+    for name, kind, text, col in COUNT_FAMILIES:
+        full = family(name, kind, text)
+        for r in rows:
+            sample(full, r, r[col])
+    if statuses is not None:
+        full = family("http_responses_total", "counter", "Responses by status.")
+        for r in sorted((r.asDict() for r in statuses.collect()), key=lambda r: (*place(r), r["status"])):
+            sample(full, r, r["count"], status=r["status"])
+    full = family("http_request_duration_ms", "summary", "Latency of requests in milliseconds.")
+    for r in rows:
+        for q, col in QUANTILES:
+            if r.get(col) is not None:
+                sample(full, r, round(r[col], 3), quantile=q)
+        sample(f"{full}_sum", r, round(r["sum_ms"], 3))
+        sample(f"{full}_count", r, r["count"])
+    full = family("http_request_duration_ms_max", "gauge", "Longest request in milliseconds.")
+    for r in rows:
+        sample(full, r, round(r["max_ms"], 3))
+    if uptime_s is not None:
+        out.append(f"{family('uptime_seconds', 'gauge', 'Seconds since the start.')} {int(uptime_s)}")
     for r in live.collect() if live is not None else ():
         for name, kind, text, col in CORPUS_FAMILIES:
-            lines += [f"# HELP {prefix}_{name} {text}", f"# TYPE {prefix}_{name} {kind}", f"{prefix}_{name} {r[col]}"]
-    return "\n".join(lines) + "\n"
+            out.append(f"{family(name, kind, text)} {r[col]}")
+    return "\n".join(out) + "\n"
 
 
 def overview(live: DataFrame, ledger: DataFrame, usage: DataFrame) -> DataFrame:

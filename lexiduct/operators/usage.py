@@ -20,6 +20,12 @@ def surfaced(records: DataFrame) -> DataFrame:
     return records.select(F.explode("words").alias("word")).distinct()
 
 
+def is_surfaced(words: DataFrame, seen: DataFrame) -> DataFrame:
+    """words (any columns, word string) with surfaced: whether the word ever came back."""
+    known = seen.select("word").distinct().withColumn("surfaced", F.lit(True))
+    return words.join(known, "word", "left").withColumn("surfaced", F.coalesce("surfaced", F.lit(False)))
+
+
 def unsurfaced(corpus: DataFrame, seen: DataFrame) -> DataFrame:
     return corpus.select("word").join(seen.select("word"), "word", "left_anti")
 

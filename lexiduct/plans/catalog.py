@@ -152,6 +152,13 @@ def _fuzzy(spark, d, **options):
     return _long(match.fuzzy_search(q, I.parts(spark, d), 20, **options), "rank", "dist")
 
 
+@query()
+def fuzzy_words(spark, d):
+    """The whole word corpus; DuckDB's distance counts bytes, so there is no SQL for it."""
+    q = spark.createDataFrame([(x,) for x in FUZZY_QUERIES], "query string")
+    return _long(match.fuzzy_search(q, I.words(spark, d), 20), "rank", "dist")
+
+
 @query(_fuzzy_sql(False, True, 20))
 def fuzzy_search_parts(spark, d):
     return _fuzzy(spark, d, fuzzy=False)
@@ -205,9 +212,9 @@ def surfaced_words(spark, d):
     return usage.surfaced(I.answers(spark, d))
 
 
-@query(f"SELECT word FROM ({I.PARTS}) WHERE word NOT IN (SELECT unnest(words) FROM ({I.ANSWERS}))")
+@query(f"SELECT word FROM ({I.STAGED}) WHERE word NOT IN (SELECT unnest(words) FROM ({I.ANSWERS}))")
 def unsurfaced_words(spark, d):
-    return usage.unsurfaced(I.parts(spark, d), usage.surfaced(I.answers(spark, d)))
+    return usage.unsurfaced(I.staged(spark, d), usage.surfaced(I.answers(spark, d)))
 
 
 @query(f"SELECT DISTINCT w AS word FROM (SELECT unnest(words) AS w FROM ({I.ANSWERS})) WHERE w IN (SELECT word FROM ({I.STAGED}))")
@@ -264,25 +271,43 @@ def promotion_plan(spark, d):
 
 def _replayed(spark, d):
     log = I.qlog(spark, d)
-    sizes = promote.prefix_sizes(log.select(F.col("query").alias("prefix")), I.parts(spark, d), 40)
-    return hotset.lru_replay(log, sizes, cap=60, threshold=I.THRESHOLD, window_s=I.WINDOW_S, max_words=40)
-
-
-@query()
+    sizes = promote.prefix_sizes(log.select(F.col("query").alias("prefix")), I.parts(spark, d), _MOST)
+    return hotset.lru_replay(log, sizes, cap=_CAP, threshold=I.THRESHOLD, window_s=I.WINDOW_S, max_words=_MOST)
+
+
+_CAP, _MOST = 60, 40
+#: The hot set as a list, least recently used first, carried from event to event.
+_REPLAY = f"""WITH RECURSIVE {I.LEDGER}, sz AS MATERIALIZED (SELECT query, least(count(word), {_MOST})::BIGINT AS words FROM (SELECT DISTINCT query FROM ({I.QLOG})) JOIN ({I.PARTS}) ON starts_with(word, query) GROUP BY query),
+ev AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r.us, r.event_id) AS seq, r.event_id, r.us, r.query, r.ws, CASE WHEN r.hits >= {I.THRESHOLD} THEN coalesce(sz.words, 0) ELSE 0 END AS words FROM r LEFT JOIN sz ON sz.query = r.query),
+st AS (
+  SELECT 0::BIGINT AS seq, NULL::BIGINT AS event_id, NULL::BIGINT AS us, NULL::VARCHAR AS query, NULL::VARCHAR AS hot_prefix, NULL::VARCHAR AS inserted, []::VARCHAR[] AS evicted, []::STRUCT(p VARCHAR, w BIGINT, f BIGINT, h BIGINT, t BIGINT)[] AS c
+  UNION ALL
+  SELECT seq, event_id, us, query, hot_prefix, inserted, list_transform(c3[1:gone], lambda x: x.p), c3[gone + 1:]
+  FROM (SELECT *, coalesce(list_min(list_filter(range(0, len(c3)), lambda k: k = len(c3) - 1 OR coalesce(list_sum(list_transform(c3[k + 1:], lambda x: x.w)), 0) <= {_CAP})), 0) AS gone
+    FROM (SELECT *, CASE WHEN inserted IS NULL THEN c2 ELSE list_append(list_filter(c2, lambda x: x.p <> query), {{'p': query, 'w': words, 'f': ws, 'h': 0::BIGINT, 't': us}}) END AS c3
+      FROM (SELECT *, CASE WHEN words > 0 AND len(list_filter(c2, lambda x: x.p = query AND x.f = ws)) = 0 THEN query END AS inserted
+        FROM (SELECT *, CASE WHEN hot_prefix IS NULL THEN c ELSE list_concat(list_filter(c, lambda x: x.p <> hot_prefix), list_transform(list_filter(c, lambda x: x.p = hot_prefix), lambda x: {{'p': x.p, 'w': x.w, 'f': x.f, 'h': x.h + 1, 't': x.t}})) END AS c2
+          FROM (SELECT ev.*, st.c, list_reverse(list_sort(list_transform(list_filter(st.c, lambda x: starts_with(ev.query, x.p)), lambda x: x.p)))[1] AS hot_prefix FROM st JOIN ev ON ev.seq = st.seq + 1)))))
+)"""
+
+
+@query(f"""{_REPLAY} SELECT 'default' AS project, seq, event_id, query, hot_prefix, inserted, array_to_string(evicted, ',') AS evicted, coalesce(list_sum(list_transform(c, lambda x: x.w)), 0)::BIGINT AS resident_words,
+coalesce(list_filter(c, lambda x: x.p = hot_prefix)[1].h, 0)::BIGINT AS hits FROM st WHERE seq > 0""")
 def lru_replay(spark, d):
-    return _replayed(spark, d).withColumn("evicted", F.array_join("evicted", ","))
+    return _replayed(spark, d).withColumn("evicted", F.array_join("evicted", ",")).drop("ts", "kind", "inserted_words")
 
 
-@query()
+@query(f"""{_REPLAY} SELECT 'default' AS project, count(*)::BIGINT AS lookups, count(hot_prefix)::BIGINT AS hits, count(inserted)::BIGINT AS inserted, sum(len(evicted))::BIGINT AS evicted,
+(count(*) - count(hot_prefix))::BIGINT AS misses, round(count(hot_prefix) / count(*), 6) AS hit_rate FROM st WHERE seq > 0""")
 def cache_stats(spark, d):
-    return hotset.replay_stats(_replayed(spark, d))
+    return hotset.replay_stats(_replayed(spark, d)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query()
+@query(f"""{_REPLAY}, l AS (SELECT c FROM st ORDER BY seq DESC LIMIT 1), e AS (SELECT unnest(c) AS x, unnest(range(len(c), 0, -1)) AS rank FROM l)
+SELECT 'default' AS project, x.p AS prefix, x.w AS words, x.h AS hits, x.t AS loaded_us, rank::BIGINT AS rank FROM e""")
 def cache_entries(spark, d):
-    r = _replayed(spark, d).where("hot_prefix is not null")
-    e = r.groupBy(F.col("hot_prefix").alias("prefix")).agg(F.count("*").alias("hits"), F.max("event_id").alias("last_used"))
-    return hotset.recency_listing(e)
+    e = hotset.resident_entries(_replayed(spark, d))
+    return _long(e.select("project", "prefix", "words", "hits", F.unix_micros("loaded_at").alias("loaded_us"), "rank"), "rank")
 
 
 _MATCHED = f"WITH RECURSIVE {I.LEDGER}, h AS ({I.HOT}), q AS (SELECT DISTINCT query FROM ({I.QLOG})), m AS ({_LPM}), l AS (SELECT hot_prefix FROM ({I.QLOG}) x JOIN m ON m.query = x.query)"
@@ -332,22 +357,24 @@ def blacklist_add(spark, d):
     return setops.blacklist_add(old, I.table(spark, d, "part").select(F.col("p_name").alias("word")))[1]
 
 
-_MANIFESTS = [("v1", ""), ("v2", "v1"), ("v3", "v2"), ("v4", "v2"), ("v10", "v4"), ("old", "v1")]
-_MAN = "SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{p}')" for v, p in _MANIFESTS) + ") m(version, parent_version)"
+#: A version a supplier, each built from the one of half its number, and a foreign name a nation.
+_MAN = "SELECT 'v' || s_suppkey AS version, CASE WHEN s_suppkey > 1 THEN 'v' || (s_suppkey // 2) ELSE '' END AS parent_version FROM supplier UNION ALL SELECT lower(n_name), 'v1' FROM nation"
+_KEPT, _CURRENT = 20, "v3"
 
 
-def _manifests(spark):
-    return spark.createDataFrame(_MANIFESTS, "version string, parent_version string")
+def _manifests(spark, d):
+    s = I.table(spark, d, "supplier").select(F.concat(F.lit("v"), "s_suppkey").alias("version"), F.when(F.col("s_suppkey") > 1, F.concat(F.lit("v"), F.expr("cast(s_suppkey div 2 as string)"))).otherwise("").alias("parent_version"))
+    return s.unionByName(I.table(spark, d, "nation").select(F.lower("n_name").alias("version"), F.lit("v1").alias("parent_version")))
 
 
-@query(f"WITH n AS (SELECT version, regexp_extract(version, '^v(\\d+)$', 1)::INT AS n FROM ({_MAN}) WHERE regexp_matches(version, '^v\\d+$')) SELECT version, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC) AS age FROM n) WHERE age > 2 AND version <> 'v3'")
+@query(f"WITH n AS (SELECT version, regexp_extract(version, '^v(\\d+)$', 1)::INT AS n FROM ({_MAN}) WHERE regexp_matches(version, '^v\\d+$')) SELECT version, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC) AS age FROM n) WHERE age > {_KEPT} AND version <> '{_CURRENT}'")
 def retention_plan(spark, d):
-    return setops.retention_plan(_manifests(spark), "v3", 2)
+    return setops.retention_plan(_manifests(spark, d), _CURRENT, _KEPT)
 
 
 @query(f"WITH RECURSIVE m AS ({_MAN}), r AS (SELECT version, version AS ancestor, 0 AS steps FROM m UNION ALL SELECT r.version, m.parent_version, steps + 1 FROM r JOIN m ON m.version = r.ancestor WHERE m.parent_version <> '') SELECT * FROM r")
 def version_lineage(spark, d):
-    return setops.lineage(spark, _manifests(spark))
+    return setops.lineage(spark, _manifests(spark, d))
 
 
 # ---- metrics ------------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def hot_prefixes(spark, sf_dir) -> DataFrame:
     """prefix: what crossed the threshold in the log."""
     from lexiduct.operators import demand
 
-    return demand.crossings(demand.ledger_windows(qlog(spark, sf_dir), THRESHOLD, WINDOW_S)).select("prefix").where("length(prefix) <= 4").distinct()
+    return demand.crossings(demand.ledger_windows(qlog(spark, sf_dir), THRESHOLD, WINDOW_S)).select("prefix").distinct()
 
 
 def answers(spark, sf_dir) -> DataFrame:
@@ -89,6 +89,7 @@ def sql_norm(x: str) -> str:
     return f"lower(strip_accents(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')))"
 
 
+#: What marks a term as junk, as in functions/text.py.
 SQL_JUNK = {
     "url": r"(?i)https?://|www\.",
     "domain": r"(?i)\.(?:com|net|org|co|in|io)\d*\b",
@@ -130,7 +131,7 @@ windows AS (
 state AS (
   SELECT prefix, hits, window_us, last_us, crossed_id IS NOT NULL AS promoted FROM windows QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY window_us DESC) = 1
 )"""
-HOT = "SELECT DISTINCT prefix FROM windows WHERE crossed_id IS NOT NULL AND length(prefix) <= 4"
+HOT = "SELECT DISTINCT prefix FROM windows WHERE crossed_id IS NOT NULL"
 ANSWERS = f"""SELECT event_id, q.query, list(p.word ORDER BY p.word) AS words FROM ({QLOG}) q
 JOIN (SELECT query, word FROM (SELECT DISTINCT query FROM ({QLOG})) JOIN ({PARTS}) ON starts_with(word, query)
   QUALIFY row_number() OVER (PARTITION BY query ORDER BY word) <= 3) p ON p.query = q.query GROUP BY event_id, q.query"""

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
+from lexiduct.config import Settings
 from lexiduct.engine import Engine
 from lexiduct.operators import demand, metrics, setops, usage
 from lexiduct.sources.store import Projects, Store, valid_project
@@ -64,11 +65,65 @@ def test_stream_equals_batch(spark, tmp_path):
     q = flows.usage_stream(stream, 1).writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c2")).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("hits")) == rows(usage.bucket_hits(e, 1))
-    corpus = spark.createDataFrame([("apple",), ("bean",)], "word string")
-    hot = str(tmp_path / "hot")
-    body = flows.promotion_sink(spark, corpus, hot)
-    body(got, 0), body(got, 1)
-    assert rows(spark.read.option("recursiveFileLookup", True).schema("prefix string, rank int, word string").parquet(hot)) == [("a", 1, "apple"), ("b", 1, "bean")]
+
+
+def counted(spark, *rows_):
+    """Rows as a ledger_stream gives them: prefix, event_id, us, crossed."""
+    return spark.createDataFrame([(p, i, us * S, 0, 1, c) for p, i, us, c in rows_], "prefix string, event_id long, us long, window_us long, hits long, crossed boolean")
+
+
+def test_promotion_under_a_budget(spark, tmp_path):
+    from lexiduct.streaming import flows
+
+    corpus = spark.createDataFrame([(w,) for w in ("oak", "oat", "pine", "pint", "rye", "sage", "sago", "sand")], "word string")
+    sink = flows.PromotionSink(spark, corpus, str(tmp_path / "hot"), cap=5, capacity=2)
+    assert sink.entries().collect() == [] and sink.stats().first().built == 0
+    sink.sink(counted(spark, ("oa", 1, 10, True), ("zz", 2, 11, True), ("ry", 3, 12, True)), 0)
+    assert rows(sink.entries(), "prefix", "words") == [("oa", 2)]  # zz has no words, ry came behind the queue's end
+    assert rows(sink.hot()) == [("oa", 1, "oak"), ("oa", 2, "oat")]
+    sink.sink(counted(spark, ("pin", 4, 20, True)), 1)
+    sink.sink(counted(spark, ("oats", 5, 30, False)), 2)  # oa is recent again
+    sink.sink(counted(spark, ("sa", 6, 40, True)), 3)
+    assert rows(sink.entries(), "prefix", "words", "loaded_in") == [("oa", 2, 0), ("sa", 3, 3)]
+    sink.sink(counted(spark, ("sa", 6, 40, True)), 3)  # a batch that runs again
+    assert rows(sink.entries(), "prefix") == [("oa",), ("sa",)]
+    again = flows.PromotionSink(spark, corpus, str(tmp_path / "hot"), cap=1)
+    again.sink(counted(spark, ("p", 7, 50, True)), 4)  # larger than the budget, and alone in it
+    assert rows(again.entries(), "prefix", "words") == [("p", 2)]
+    s = again.stats().first()
+    assert (s.enqueued, s.dropped, s.built, s.empty, s.evicted) == (5, 1, 4, 1, 3) and s.avg_build_ms > 0
+    cleared = spark.read.schema(flows.CONTROLS).option("recursiveFileLookup", True).parquet(str(tmp_path / "hot" / "controls"))
+    assert rows(cleared, "query", "kind") == [("oa", "clear"), ("pin", "clear"), ("sa", "clear"), ("zz", "clear")]
+    again.sink(counted(spark, ("none", 8, 60, False)), 5)
+    assert rows(again.entries(), "prefix") == [("p",)]
+
+
+def test_marks_clears_and_restored_state_in_a_stream(spark, tmp_path):
+    from lexiduct.streaming import flows
+
+    schema = "event_id long, us long, query string, kind string"
+    told = [(1, 1, "a", "hit"), (2, 2, "a", "clear"), (3, 3, "a", "hit"), (4, 4, "u", "clear"), (5, 90, "u", "hit"), (6, 91, "u", "hit"), (7, 5, "m", "mark"), (8, 6, "m", "hit"), (9, 7, "m", "hit"), (10, 8, "m", "clear"), (11, 9, "m", "hit"), (12, 2, "r", "hit"), (13, 2, "p", "hit")]
+    src = str(tmp_path / "src")
+    spark.createDataFrame([(i, us * S, q, k) for i, us, q, k in told], schema).coalesce(1).write.parquet(src)
+    before = spark.createDataFrame([("r", 1, 0, False), ("p", 5, 0, True)], "prefix string, hits long, w long, promoted boolean").withColumn("window_start", F.timestamp_micros("w"))
+    stream = spark.readStream.schema(schema).parquet(src).withColumn("ts", F.timestamp_micros("us"))
+    q = flows.ledger_stream(stream, 2, 60, restored=before).writeStream.format("memory").queryName("marks").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    # u's window begins with its first hit, not with the clear; r goes on from one hit; p is promoted already.
+    got = {(r.prefix, r.event_id): (r.window_us // S, r.hits, r.crossed) for r in spark.table("marks").collect()}
+    assert got == {("a", 1): (1, 1, False), ("a", 3): (1, 2, True), ("u", 5): (90, 1, False), ("u", 6): (90, 2, True), ("m", 8): (5, 1, False), ("m", 9): (5, 2, False), ("m", 11): (5, 3, True), ("r", 12): (0, 2, True), ("p", 13): (0, 6, False)}
+
+
+def test_ledger_snapshots(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert demand.read_snapshot(spark, path).collect() == []
+    s = demand.ledger_state(demand.ledger_windows(events(spark, [("one", 0), ("two", 1), ("two", 2), ("old", -3600 * S)]), 2, 60))
+    demand.write_snapshot(s, path, 1)
+    demand.write_snapshot(s.where("prefix <> 'one'"), path, 2)
+    spark.createDataFrame([("half",)], "prefix string").write.parquet(f"{path}/snapshot=3")  # never finished
+    got = demand.read_snapshot(spark, path)
+    assert rows(got, "prefix", "hits", "promoted") == [("old", 1, False), ("two", 2, True)]
+    assert rows(demand.read_snapshot(spark, path, F.timestamp_seconds(F.lit(0))), "prefix") == [("two",)]
 
 
 def test_usage(spark):
@@ -84,13 +139,13 @@ def test_usage(spark):
 
 
 def test_setops(spark, words):
-    a, b = words("apple", "apricot", "banana", "cherry"), words("apple", "apricot", "blueberry", "date")
-    assert tuple(setops.diff(a, b).first()) == (2, 2, 2)
-    assert setops.merge(words("apple", "banana", "cherry"), words("apple", "blueberry", "date")).count() == 5
-    hits = spark.createDataFrame([("ap", 2), ("ba", 0)], "prefix string, hits long")
-    assert rows(setops.prune(a, hits, 2)) == [("apple",), ("apricot",)]
-    new, n = setops.blacklist_add(words("apple"), words("Apple", "Pear", " "))
-    assert rows(new) == [("apple",), ("pear",)] and tuple(n.first()) == (1, 2)
+    a, b = words("drum", "dulcimer", "flute", "harp", "horn"), words("drum", "harp", "lyre")
+    assert tuple(setops.diff(a, b).first()) == (1, 3, 2)
+    assert rows(setops.merge(a, b)) == [("drum",), ("dulcimer",), ("flute",), ("harp",), ("horn",), ("lyre",)]
+    hits = spark.createDataFrame([("du", 0), ("ha", 3), ("h", 9), ("fl", 1)], "prefix string, hits long")
+    assert rows(setops.prune(a, hits, 2)) == [("flute",), ("harp",)] and rows(setops.prune(a, hits, 2, 1)) == [("harp",)]
+    new, n = setops.blacklist_add(words("horn"), words("HORN ", "Lyre", "\t", "lyre"))
+    assert rows(new) == [("horn",), ("lyre",)] and tuple(n.first()) == (1, 2)
 
 
 def test_store_lifecycle(spark, tmp_path, words):
@@ -116,7 +171,7 @@ def test_store_lifecycle(spark, tmp_path, words):
     assert s.rollback("v2") == ("v4", "v2") and s.next_version() == "v5"
     with pytest.raises(FileNotFoundError):
         s.rollback("v99")
-    for bad in ("", "staging", "../evil", "v1/sub", "v1\\win", "v1.bak", "v2"):
+    for bad in ("", "staging", "..", "v3/corpus", "a\\b", "v4.old", s.current()):
         with pytest.raises(ValueError):
             s.delete_version(bad)
     s.delete_version("v1")
@@ -145,39 +200,82 @@ def test_store_lifecycle(spark, tmp_path, words):
         s.restore(str(tmp_path / "evil.zip"))
     assert s.current() == "v5"
     p = Projects(spark, str(tmp_path))
-    p.create("catalog-2")
-    assert p.names() == ["catalog-2", "default"]
-    p.delete("catalog-2")
+    p.create("orchard")
+    assert p.names() == ["default", "orchard"] and p.get("orchard").project == "orchard"
+    with pytest.raises(FileExistsError):
+        p.create("orchard", exists_ok=False)
+    with pytest.raises(FileNotFoundError):
+        p.get("meadow")
+    p.delete("orchard")
     with pytest.raises(ValueError):
         p.delete("default")
 
 
 def test_names_retention_lineage(spark):
-    assert all(map(valid_project, ("catalog", "catalog-2", "a1"))) and not any(map(valid_project, ("", "UPPER", "has space", "-start", "end-", "../../escape", "a" * 49)))
+    assert all(map(valid_project, ("x", "7", "orchard", "old-town-9", "q" * 48))) and not any(map(valid_project, ("", "Orchard", "old town", "-x", "x-", "a/b", "..", "q" * 49)))
     m = spark.createDataFrame([("v1", ""), ("v2", "v1"), ("v3", "v2"), ("v10", "v3")], "version string, parent_version string")
     assert rows(setops.retention_plan(m, "v10", 2), "version") == [("v1",), ("v2",)]
     assert rows(setops.lineage(spark, m).where("version = 'v10'"), "ancestor", "steps") == [("v1", 3), ("v10", 0), ("v2", 2), ("v3", 1)]
 
 
+def test_a_restore_that_fails_leaves_all_as_it_was(spark, tmp_path, words, monkeypatch):
+    import lexiduct.sources.store as module
+
+    s = Store(spark, str(tmp_path / "r"))
+    s.bootstrap(words("reed", "rush", col="value"))
+    z = str(tmp_path / "b.zip")
+    s.backup(z)
+    s.stage(words("sedge", col="value"))
+    s.apply("merge")
+    real, calls = module.os.replace, []
+
+    def replace(a, b):
+        calls.append(b)
+        if len(calls) == 2:
+            raise OSError("the disk is gone")
+        real(a, b)
+
+    monkeypatch.setattr(module.os, "replace", replace)
+    with pytest.raises(OSError, match="gone"):
+        s.restore(z)
+    assert len(calls) == 3 and s.current() == "v2" and rows(s.words()) == [("reed",), ("rush",), ("sedge",)]
+    assert s.restore(z) == "v1" and rows(s.words()) == [("reed",), ("rush",)]
+
+
 def test_engine(spark, tmp_path):
     csv = tmp_path / "w.csv"
-    csv.write_text("name\nmarket\nmarketing\nmarketplace\nmarine\nmango\nApple\n786\n")
-    e = Engine(spark, str(tmp_path / "root"))
-    assert e.suggest("mar") == []
-    out = e.store.ingest_csv(str(csv), "NAME")
+    csv.write_text("name\nharbour\nharbour master\nharvest\nharp\nhazel\nApple\n786\n")
+    e = Engine(spark, str(tmp_path / "root"), settings=Settings(promotion_threshold=3, word_cap=4, promotion_max_words=4))
+    assert e.suggest("har") == []
+    out = e.upload(str(csv), "NAME")
     assert (out.word_count, e.store.sources()[0]["values_read"], e.reload()) == (6, 7, out.new_version)
     with pytest.raises(ValueError, match="at least 2"):
         e.suggest("a")
     with pytest.raises(ValueError):
         e.suggest("é")  # its normal form is one byte
-    assert [x["source"] for x in e.suggest("MAR", 2)] == ["cold", "cold"]
-    assert e.warm(["mar", "zz"]) == 1
-    assert e.suggest("mark", 2) == [{"word": "market", "source": "hot"}, {"word": "marketing", "source": "hot"}]
-    assert [x["word"] for x in e.suggest("markting", fuzzy=True)][0] == "marketing"
-    assert e.suggest_response("Mango")["count"] == 1 and e.health()["corpus_words"] == 6
-    e.record_usage(e.suggest_batch(spark.createDataFrame([("mar",), ("man",)], "query string")))
-    e.record_usage(e.suggest_batch(spark.createDataFrame([("mar",)], "query string")))
-    assert rows(e.store.usage_hits()) == [("man", 1), ("mar", 2)]
+    assert [x["source"] for x in e.suggest("HAR", 2)] == ["cold", "cold"]
+    assert e.warm(["harb", "zz"]) == 1 and e.warm(["haz", "har"], deadline_s=0) == 0
+    assert e.suggest("harbour", 2) == [{"word": "harbour", "source": "hot"}, {"word": "harbour master", "source": "hot"}]
+    assert [x["word"] for x in e.suggest("harbor", fuzzy=True)][0] == "harbour"
+    # The third request crosses; its own answer is still cold, the next one is hot, and harb leaves.
+    assert [e.suggest("har")[0]["source"] for _ in range(3)] == ["cold", "cold", "hot"]
+    assert [x[:2] for x in e.entries.newest_first()] == [("har", 4)] and not e.counters["harb"].promoted
+    live = e.live_stats().first()
+    assert (live.hot_words, live.hot_entries, live.cold_words, live.hits, live.misses) == (4, 1, 2, 3, 3)
+    assert e.overview().first().keys > 3 and e.suggest_response("Hazel")["count"] == 1
+    # Every request counts for usage, those without an answer too (one was before the upload); too short ones don't.
+    assert e.flush_usage() == 7 and e.flush_usage() == 0
+    assert rows(e.store.usage_hits()) == [("har", 7), ("haz", 1)]
+    asked = spark.createDataFrame([("har",), ("har",), ("qq",), ("x",)], "query string")
+    e.record_usage(asked, e.suggest_batch(asked))
+    assert rows(e.store.usage_hits()) == [("har", 9), ("haz", 1), ("qq", 1)]
+    # A warm restart takes the ledger over and loads what was promoted.
+    demand.write_snapshot(e.ledger_state(), str(tmp_path / "ledger"), 1)
+    f = Engine(spark, str(tmp_path / "root"), settings=e.settings)
+    assert f.restart_warm(demand.read_snapshot(spark, str(tmp_path / "ledger"))) == 1 and f.suggest("harv")[0]["source"] == "hot"
+    assert f.sweep() == 0 and f.health()["corpus_words"] == 6 and f.uptime_s() >= 0
+    f.reload()
+    assert f.suggest("harv")[0]["source"] == "cold"
 
 
 def test_metrics(spark):
@@ -188,8 +286,13 @@ def test_metrics(spark):
     assert (a["count"], a.errors, a.min_ms, a.max_ms, a.p50, a.p95, a.p99) == (11, 1, 1.0, 100.0, 6.0, 100.0, 100.0)
     assert metrics.route_percentiles(o, ring=3).where("route = '/a'").first().p50 == 10.0
     assert rows(metrics.status_histogram(o)) == [("/a", 200, 10), ("/a", 500, 1), ("<not found>", 404, 1)]
-    text = metrics.prometheus(s)
-    assert 'lexiduct_requests_total{route="/a"} 11' in text and text.index("/a") < text.index("<not found>")
+    text = metrics.prometheus(s, statuses=metrics.status_histogram(o), uptime_s=9)
+    for line in ('lexiduct_http_requests_total{route="/a"} 11', 'lexiduct_http_responses_total{route="/a",status="500"} 1', "# TYPE lexiduct_http_request_duration_ms summary", 'lexiduct_http_request_duration_ms{route="/a",quantile="0.5"} 6', 'lexiduct_http_request_duration_ms_sum{route="/a"} 155', 'lexiduct_http_request_duration_ms_count{route="/a"} 11', 'lexiduct_http_request_duration_ms_max{route="/a"} 100', "lexiduct_uptime_seconds 9"):
+        assert line in text.splitlines()
+    assert text.index('route="/a"') < text.index("<not found>")
+    by = ("method", "route")
+    m = o.withColumn("method", F.lit('G"T'))
+    assert 'lexiduct_http_requests_total{method="G\\"T",route="/a"} 11' in metrics.prometheus(metrics.route_stats(m, by).join(metrics.route_percentiles(m, by=by), list(by)))
     r = metrics.latency_report(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "ms double")).first()
     assert (r.n, r.mean_ms, r.p50, r.per_second) == (3, 2.0, 2.0, 500.0)
     assert metrics.snapshot_json(s.where("route = '/a'").select("route", "count")).first().json == '{"route":"/a","count":11}'

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = Path("/root/testdata/sf0.001")
-NAMES = ["suggest_hot_cold", "corpus_build", "ingest_counts", "skip_index", "fuzzy_infix", "ledger_windows", "promotion_plan", "corpus_diff", "route_percentiles", "project_overview"]
+NAMES = ["suggest_hot_cold", "corpus_build", "ingest_counts", "skip_index", "fuzzy_infix", "ledger_windows", "promotion_plan", "lru_replay", "cache_stats", "cache_entries", "index_seek", "corpus_diff", "route_percentiles", "project_overview"]
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the driver's tables")
 
 

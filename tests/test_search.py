@@ -1,4 +1,4 @@
-from functools import lru_cache
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from lexiduct.operators import hotset, match, promote
+from lexiduct.operators import hotset, match, promote, usage
 
 
 def lev(a, b):
@@ -52,6 +52,21 @@ def test_fuzzy_cases(spark, words, q, w, fuzzy, want):
     assert [(r.dist, r.infix) for r in got] == ([want] if want else [])
 
 
+def test_fuzzy_query_over_the_word_corpus(spark, tmp_path):
+    from lexiduct.plans import catalog
+
+    rnd = random.Random(7)
+    text = ["".join(rnd.choice("glnorté") for _ in range(rnd.randint(1, 8))) for _ in range(150)] + ["Polished", "chocolaté", "oldring", "ketten", "blue", "www.x"]
+    spark.createDataFrame([(i, " ".join(text[i::5])) for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["fuzzy_words"](spark, str(tmp_path)).collect()
+    corpus = {w.lower().replace("é", "e") for w in text} - {"www.x"}
+    want = []
+    for q in catalog.FUZZY_QUERIES:
+        hits = sorted((*m, w.encode()) for w in corpus if (m := model(q, w)))
+        want += [(q, i, w.decode(), d, x) for i, (d, x, w) in enumerate(hits[:20], 1)]
+    assert sorted((r.query, r["rank"], r.word, r.dist, r.infix) for r in got) == sorted(want)
+
+
 def test_fuzzy_ranks_and_originals(spark, words):
     got = match.fuzzy_search(words("mar", col="query"), words("tamar", "market", "mxr", "mar"), 3).orderBy("rank").collect()
     assert [r.word for r in got] == ["mar", "market", "tamar"]
@@ -106,6 +121,61 @@ def test_replay_promotes_after_the_crossing_event(spark, words):
     assert (st.lookups, st.hits, st.inserted, st.evicted) == (6, 1, 1, 0)
 
 
+def plain_replay(log, sizes, cap, threshold, span):
+    """The hot set and its ledger as plain lists, event by event."""
+    cache, ledger, out = [], {}, []  # entries: [prefix, words, hits], least recent first
+    for e, us, q, kind in sorted(log, key=lambda r: (r[1], r[0])):
+        if kind == "evict":
+            gone = [x[0] for x in cache if x[0] == q]
+            cache = [x for x in cache if x[0] != q]
+            if gone:
+                ledger[q][2] = False
+            out.append((e, None, None, gone, sum(x[1] for x in cache)))
+            continue
+        c = ledger.setdefault(q, [us, 0, False])
+        if us - c[0] > span:
+            c[:] = [us, 0, False]
+        c[1] += 1
+        crossed = not c[2] and c[1] >= threshold
+        c[2] = c[2] or crossed
+        fits = sorted((x for x in cache if q.startswith(x[0])), key=lambda x: len(x[0]))
+        if fits:
+            cache.remove(fits[-1])
+            cache.append(fits[-1])
+            fits[-1][2] += 1
+        gone, inserted = [], None
+        if crossed and sizes[q]:
+            inserted = q
+            cache = [x for x in cache if x[0] != q] + [[q, sizes[q], 0]]
+            while sum(x[1] for x in cache) > cap and len(cache) > 1:
+                gone.append(cache.pop(0)[0])
+                ledger[gone[-1]][2] = False
+        elif crossed:
+            c[2] = False
+        out.append((e, fits[-1][0] if fits else None, inserted, gone, sum(x[1] for x in cache)))
+    return out, [(p, w, h, n + 1) for n, (p, w, h) in enumerate(reversed(cache))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replay_against_a_plain_model(spark, seed):
+    rnd = random.Random(seed)
+    sizes = {q: rnd.choice([0, 1, 2, 5, 9]) for q in ["a", "ab", "abc", "b", "bc", "c", "ca", "cab"]}
+    log = [(i, rnd.randint(0, 400), rnd.choice(list(sizes)), "evict" if rnd.random() < 0.03 else "hit") for i in range(500)]
+    df = spark.createDataFrame([("p", *r) for r in log], "project string, event_id long, us long, query string, kind string").withColumn("ts", F.timestamp_seconds("us"))
+    got = hotset.lru_replay(df, spark.createDataFrame(list(sizes.items()), "prefix string, words long"), cap=10, threshold=3, window_s=40)
+    want, left = plain_replay(log, sizes, 10, 3, 40)
+    assert [(r.event_id, r.hot_prefix, r.inserted, r.evicted, r.resident_words) for r in got.orderBy("seq").collect()] == want
+    assert [tuple(r) for r in hotset.resident_entries(got).select("prefix", "words", "hits", "rank").orderBy("rank").collect()] == left
+    s = hotset.replay_stats(got).first()
+    hits = [r for r in log if r[3] == "hit"]
+    assert (s.lookups, s.hits + s.misses, s.evicted) == (len(hits), len(hits), sum(len(w[3]) for w in want))
+
+
+def test_lookups(spark, words):
+    assert rows(hotset.is_resident(words("ma", "mar", col="prefix"), words("ma", col="prefix"))) == [("ma", True), ("mar", False)]
+    assert rows(usage.is_surfaced(words("x", "y"), words("y"))) == [("x", False), ("y", True)]
+
+
 def test_promotion_queue_and_pins(spark, words):
     c = spark.createDataFrame([("mar", 1, 1), ("mar", 2, 5), ("zz", 3, 2), ("ok", 4, 3)], "prefix string, event_id long, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert rows(promote.queue(c, words("ok", col="prefix"), 1)) == [("mar", True), ("zz", False)]
