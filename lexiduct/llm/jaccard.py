@@ -9,11 +9,11 @@ the survivors fetch.
 
 Groups of near copies would share a prefix shingle pairwise, so pairs are tested in
 rounds, and the links found are contracted to components before the next.  First each
-class only with the smallest class of each of its prefix shingles (a star).  Then, while
-testing all pairs left would cost much, each only with its neighbour in a random order
-of the classes of a prefix shingle, where that is in another component: a few such
-rounds, each linear in the postings and far smaller than the one before, join a group
-of near copies.  Last, for prefix shingles that still join different components, the
+class only with the smallest class of each of its prefix shingles (a star).  Then each
+only with its neighbour in a random order of the classes of a prefix shingle, where that
+is in another component, and again while testing all pairs left would cost much: such
+rounds, each linear in the postings and far smaller than the one before, join a group of
+near copies.  Last, for prefix shingles that still join different components, the
 classes outside of the shingle's largest component with all its classes of other
 components.  Pairs within one component are never tested, as they can't change it; no
 other pair is left out.
@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiduct.llm import words as W
-from lexiduct.llm.shared import components, written
+from lexiduct.llm.shared import components, discard, written
 
 U = np.uint64
 HEAVY_ROWS = 1 << 21  # shingles gathered in a task before those seen often are told
 HEAVY_LEAST = 2
-ROUNDS = 2  # of neighbours in random orders, at most
+CELL_BITS = 23  # cells of the hash space that have a level of rarity, a byte each
+PART_BITS = 15
+ROUNDS = 3  # of neighbours in random orders, at most
 BITS = 8  # longs of the short sketch that a join compares
-CHEAP = 8  # pairs a posting up to which all pairs are tested at once
+CHEAP = 8  # pairs a posting up to which all pairs left are tested at once
 
 
 def sets_of(column: pa.Array, k: int):
@@ -84,10 +86,25 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n (set size), fa, fb (fingerprints of the set), sketch, and bits,
-    a sketch of a fixed BITS * 64 cells that joins can compare."""
+    """A row for each document: doc_id, text_hash, n (set size), fa, fb (fingerprints of the
+    set), sketch, and bits, a sketch of a fixed BITS * 64 cells that joins can compare.
+    In the same pass rows of another kind, whose n is null: cell, h, c, the shingles that
+    a task met HEAVY_LEAST times or more in a run of its documents, and how often."""
+    numbers = pa.struct([(f"b{i}", pa.int64()) for i in range(BITS)])
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("sketch", pa.binary()), ("bits", numbers), ("cell", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
+
+    def rows(length, **columns):
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in kinds], schema=kinds)
 
     def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+
+        def told():
+            v, c = np.unique(np.concatenate(held), return_counts=True)
+            v, c = v[c >= HEAVY_LEAST], c[c >= HEAVY_LEAST]
+            return rows(len(v), cell=pa.array(_cell(v).astype(np.int32)), h=pa.array(v.view(np.int64)), c=pa.array(c.astype(np.int64)))
+
         for b in batches:
             for lo, hi, v, off in sets_of(b["text"], k):
                 fa, fb = fingerprints(v, off)
@@ -95,89 +112,88 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
                 row = np.repeat(np.arange(hi - lo), np.diff(off))
                 cells = np.bincount(row * (BITS * 64) + (v % U(BITS * 64)).astype(np.int64), minlength=(hi - lo) * BITS * 64) & 1
                 odd = np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64).reshape(hi - lo, BITS)
-                bits = pa.StructArray.from_arrays([pa.array(odd[:, i].copy()) for i in range(BITS)], names=[f"b{i}" for i in range(BITS)])
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), b["text_hash"].slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(fa), pa.array(fb), sketch, bits], names=["doc_id", "text_hash", "n", "fa", "fb", "sketch", "bits"])
+                bits = pa.StructArray.from_arrays([pa.array(odd[:, i].copy()) for i in range(BITS)], fields=list(numbers))
+                yield rows(hi - lo, doc_id=b["doc_id"].slice(lo, hi - lo), text_hash=b["text_hash"].slice(lo, hi - lo), n=pa.array(np.diff(off)), fa=pa.array(fa), fb=pa.array(fb), sketch=sketch, bits=bits)
+                held.append(v)
+                size += len(v)
+                if size >= HEAVY_ROWS:
+                    yield told()
+                    held, size = [], 0
+        if size:
+            yield told()
 
     fields = ", ".join(f"b{i}: long" for i in range(BITS))
-    return _texts(docs).mapInArrow(run, f"doc_id long, text_hash long, n long, fa long, fb long, sketch binary, bits struct<{fields}>")
+    return _texts(docs).mapInArrow(run, f"doc_id long, text_hash long, n long, fa long, fb long, sketch binary, bits struct<{fields}>, cell int, h long, c long")
 
 
-def frequent_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that many documents hold, and how many: every task tells those that
-    occur in HEAVY_LEAST or more of a run of its documents.  Covers all documents; the
-    answer only orders prefixes, so a shingle left out costs time and no result.  At
-    most `most` (the commonest) come back, which bounds what is broadcast."""
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - CELL_BITS)).astype(np.int64)
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        n = 0
 
-        def told():
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= HEAVY_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["h", "c"])
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of binary orders, 1 for a single one."""
+    return np.minimum(np.frexp(counts.astype(np.float64))[1], 255).astype(np.uint8)
 
-        for b in batches:
-            for _, _, v, _ in sets_of(b["text"], k):
-                held.append(v)
-                n += len(v)
-                if n >= HEAVY_ROWS:
-                    yield told()
-                    held, n = [], 0
-        if n:
-            yield told()
 
-    counts = _texts(docs).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    got = counts.orderBy(F.desc("c"), "h").limit(most).toArrow()
-    h, c = got["h"].to_numpy().astype(np.int64).view(U), got["c"].to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+def _table(counts: DataFrame) -> np.ndarray:
+    """The levels of all cells from (cell int, c long), packed by tasks: the driver gets
+    at most one byte a cell, whatever the input's size."""
+    most = counts.groupBy("cell").agg(F.max("c").alias("c")).withColumn("part", F.shiftright("cell", PART_BITS))
+
+    def pack(group: pa.Table) -> pa.Table:
+        levels = np.zeros(1 << PART_BITS, np.uint8)
+        levels[group["cell"].to_numpy() & ((1 << PART_BITS) - 1)] = _level(group["c"].to_numpy())
+        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "levels": pa.array([levels.tobytes()])})
+
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for r in most.groupBy("part").applyInArrow(pack, "part int, levels binary").toArrow().to_pylist():
+        out[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["levels"], np.uint8)
+    return out
 
 
-def prefix_postings(docs: DataFrame, k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def rarity_levels(met: DataFrame) -> np.ndarray:
+    """What orders shingles from rare to frequent: a level for each cell of the hash
+    space, from how often runs of documents met them (cell, h, c), over all documents.
+    Any order gives exact results, so shingles that share a cell cost time and no link."""
+    return _table(met.groupBy("cell", "h").agg(F.sum("c").alias("c")))
+
+
+def prefix_postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """token, fa, n, pos: the prefix of each class in rare-first order.  A task emits a
     class once, however many copies it meets (as far as it remembers them)."""
-    hv, hc = heavy
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for _, _, v, off in sets_of(b["text"], k):
                 fa, _ = fingerprints(v, off)
-                rarity = np.zeros(len(v), np.int64)
-                if len(hv):
-                    at = np.searchsorted(hv, v)
-                    at[at == len(hv)] = 0
-                    rarity = np.where(hv[at] == v, hc[at], 0)
-                cols: list[list] = [[], [], [], []]
-                for i in range(len(off) - 1):
-                    f, n = int(fa[i]), int(off[i + 1] - off[i])
-                    if not n or f in seen:
-                        continue
+                n = np.diff(off)
+                new = 100 * n >= percent * (n + 1)  # no other set is near enough to a smaller one
+                for i in np.flatnonzero(new).tolist():
+                    f = int(fa[i])
+                    new[i] = f not in seen
                     if len(seen) < 1_000_000:
                         seen.add(f)
-                    p = n - -(-percent * n // 100) + 1
-                    s, r = v[off[i] : off[i + 1]], rarity[off[i] : off[i + 1]]
-                    # Hashes ascend within a set, so a stable sort by rarity orders by (rarity, hash).
-                    first = s[:p] if not r.any() else s[np.argsort(r, kind="stable")[:p]]
-                    cols[0].append(first)
-                    cols[1].append(np.full(p, f))
-                    cols[2].append(np.full(p, n, np.int32))
-                    cols[3].append(np.arange(p, dtype=np.int32))
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(cols[0]).view(np.int64)), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2])), pa.array(np.concatenate(cols[3]))],
-                        names=["token", "fa", "n", "pos"],
-                    )
+                if not new.any():
+                    continue
+                # Hashes ascend within a set, so a stable sort by (set, level) orders each by (level, hash).
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.argsort((row.astype(np.int64) << 8) | levels[_cell(v)], kind="stable")
+                pos = np.arange(len(v)) - np.repeat(off[:-1], n)
+                first = (pos < np.repeat(n - -(-percent * n // 100) + 1, n)) & np.repeat(new, n)
+                row, pos = row[first], pos[first]
+                out = [pa.array(v[order[first]].view(np.int64)), pa.array(fa[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, names=["token", "fa", "n", "pos"])
 
     return _texts(docs).select("text").mapInArrow(run, "token long, fa long, n int, pos int")
 
 
 def _overlap_possible(a: str, b: str, percent: int):
-    """Length and positional filters for a shared shingle at two places: the overlap is at
-    most what lies before it in both, the shingle, and what lies behind it in both."""
+    """Length and positional filters for a shared shingle at two places.  A pair that
+    reaches the threshold passes at its first shared shingle, from whose places on all
+    of the overlap lies in both; that it may fail at a later one rules nothing out."""
     na, nb, pa_, pb = (F.col(x).cast("long") for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    most = F.least(na - pa_, nb - pb)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
 
 
@@ -242,15 +258,16 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "fa long, hashes binary").dropDuplicates(["fa"])
 
 
-def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, text_hash, n, fa, fb, sketch of every document, and links (x, y) between
-    classes (by fa) that reach 100 * intersection >= percent * union, enough of them to
-    give the right components: pairs that earlier links already join aren't tested."""
-    docs_sets = written(document_sets(docs, k), "jac-docs")
+def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(documents, links): doc_id, text_hash, n, fa, fb, sketch, bits of every document, and
+    links (x, y) between classes (by fa) that reach 100 * intersection >= percent * union,
+    enough of them to give the right components: pairs that earlier links already join
+    aren't tested."""
+    told = written(document_sets(docs, k), "jac-docs")
+    docs_sets = told.where("n is not null").drop("cell", "h", "c")
     classes = docs_sets.where("n > 0").groupBy("fa").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
-    heavy = frequent_shingles(docs, k, most_frequent)
     by = Window.partitionBy("token")
-    posts = prefix_postings(docs, k, percent, heavy).withColumn("hub", F.min(F.struct("fa", "n", "pos")).over(by)).withColumn("last", F.max("fa").over(by))
+    posts = prefix_postings(docs, k, percent, rarity_levels(told.where("n is null"))).withColumn("hub", F.min(F.struct("fa", "n", "pos")).over(by)).withColumn("last", F.max("fa").over(by))
     posts = written(posts.where(F.col("hub.fa") != F.col("last")).select("token", F.struct("fa", "n", "pos").alias("p"), "hub").distinct(), "jac-posts")
 
     star = posts.where(F.col("p.fa") != F.col("hub.fa")).where(_overlap_possible("p", "hub", percent))
@@ -260,36 +277,48 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, most_frequen
         near = written(close_enough(pairs, classes, percent), "jac-near")
         used = near.select(F.col("x").alias("fa")).unionByName(near.select(F.col("y").alias("fa"))).distinct()
         sets = written(_class_sets(docs, classes.join(used, "fa", "left_semi"), k), "jac-sets")
-        return written(verified(near, sets, percent), "jac-links")
+        links = written(verified(near, sets, percent), "jac-links")
+        discard(near, sets)
+        return links
 
     links = linked(star)
     comp = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "jac-cc"), "jac-comp")
 
-    tested, found = star, [links]
-    for n in range(ROUNDS + 1):
-        mixed = _mixed(posts, comp)
-        size = mixed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("in_big")).alias("out"))
-        cost = size.agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("postings")).first()
-        if n == ROUNDS or (cost.pairs or 0) <= CHEAP * (cost.postings or 0):
-            break
+    tested, found, mixed, used = star, [links], posts, [star]
+
+    def mix() -> DataFrame:
+        out = _mixed(mixed, comp)
+        discard(mixed)
+        return out
+
+    for n in range(ROUNDS):
+        mixed = mix()
+        if n:
+            cost = mixed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("in_big")).alias("out")).agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("postings")).first()
+            if (cost.pairs or 0) <= CHEAP * (cost.postings or 0):
+                break
         order = Window.partitionBy("token").orderBy(F.xxhash64("p.fa", "token", F.lit(n)), "p.fa")
         near = mixed.select("p", "comp", F.lag(F.struct("p", "comp")).over(order).alias("q")).where(F.col("comp") != F.col("q.comp"))
         near = _pair(near.where(_overlap_possible("p", "q.p", percent)), "p.fa", "q.p.fa")
         near = written(near.join(tested, ["x", "y"], "left_anti"), "jac-round")
         more = linked(near)
         tested = tested.unionByName(near)
-        if more.isEmpty():
-            break
+        used.append(near)
         found.append(more)
         known = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = written(components(known.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "jac-cc"), "jac-comp")
+        before, comp = comp, written(components(known.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "jac-cc"), "jac-comp")
+        discard(before)
+    else:
+        mixed = mix()
 
+    used.append(mixed)
     mixed = mixed.join(classes.select(F.col("fa").alias("_fa"), "bits"), F.col("p.fa") == F.col("_fa")).select("token", "p", "comp", "in_big", "bits")
     small = mixed.where("not in_big").select("token", F.col("p").alias("s"), F.col("comp").alias("sc"), F.col("bits").alias("sbits"))
     rest = mixed.join(small, "token").where(F.col("comp") != F.col("sc"))
     rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent)).where(_bits_near("bits", "sbits", "p.n", "s.n", percent))
     rest = written(_pair(rest, "p.fa", "s.fa").join(tested, ["x", "y"], "left_anti"), "jac-rest")
     found.append(linked(rest))
+    discard(rest, comp, *used)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -302,15 +331,17 @@ def _pair(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def _mixed(posts: DataFrame, comp: DataFrame) -> DataFrame:
     """token, p, comp, in_big: the postings of shingles that still join different
-    components, and whether they are of the shingle's largest one."""
+    components, and whether they are of the shingle's largest one.  posts may be the
+    mixed ones of a round before, as components only grow."""
     c = comp.select(F.col("node").alias("fa"), "component")
     at = posts.select("token", "p", F.col("p.fa").alias("fa")).join(c, "fa", "left").select("token", "p", F.coalesce("component", "fa").alias("comp"))
-    sizes = at.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1")
-    return written(at.join(largest, "token").select("token", "p", "comp", (F.col("comp") == F.col("big")).alias("in_big")), "jac-mixed")
+    by = Window.partitionBy("token")
+    sized = at.withColumn("size", F.count("*").over(Window.partitionBy("token", "comp")))
+    seen = sized.withColumn("big", F.max(F.struct("size", "comp")).over(by)).withColumn("least", F.min("comp").over(by)).withColumn("most", F.max("comp").over(by))
+    return written(seen.where("least <> most").select("token", "p", "comp", (F.col("comp") == F.col("big.comp")).alias("in_big")), "jac-mixed")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """For docs (doc_id, text; other columns are ignored): doc_id, n_shingles,
     component_id, one row for each row of docs.
 
@@ -320,18 +351,18 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent
     reachable by links.  Null, empty and blank texts have no shingles and link with
     nothing.  A document with a null doc_id links like any other, but is the component of
     none; component_id is null where no document with an id is reachable."""
-    out = similar_documents(docs, k, percent, most_frequent)
+    out = similar_documents(docs, k, percent)
     named = F.when(F.col("component").isNull(), F.col("doc_id")).when(~F.col("component.lone"), F.col("component.id"))
     return out.select("doc_id", "n_shingles", named.alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, most_frequent: int = 1_000_000, one_id: bool = True) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, one_id: bool = True) -> DataFrame:
     """doc_id, text_hash, n_shingles, fa, component of each row of docs: component is the
     first class that links reach, by (lone, id, class): lone if no document of the class
     has an id, id the smallest of its doc_ids (else fa), and class its fa.  It is null
     for texts without shingles.  With one_id, rows that share an id are one document and
     so connect their classes (class is 0 then where there is an id)."""
-    rows, links = similar_classes(docs, k, percent, most_frequent)
+    rows, links = similar_classes(docs, k, percent)
     # Classes are told apart by both fingerprints; links name them by the first.
     classes = rows.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     name = F.lit(0).cast("long") if one_id else F.col("fa")

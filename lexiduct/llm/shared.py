@@ -15,7 +15,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='lexiduct-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    # A path without a scheme is one of Spark's default file system, for our own files too.
+    return _hadoop(spark, base)[1].toString().rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path with its scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
@@ -28,7 +36,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     lineage and survives the loss of executors."""
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `written` gave, once all that reads them has been
+    written itself."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            fs, p = _hadoop(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,23 +59,26 @@ def fold(col: str, k: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(k)
 
 
-def hash_sample(df: DataFrame, key: str, strata: str, cap: int) -> tuple[DataFrame, dict]:
+def hash_sample(df: DataFrame, key: str, strata: str, cap: int, most: int = 256) -> tuple[DataFrame, dict, dict]:
     """About cap rows of each stratum (all of a smaller one), picked by a hash of
-    the key, so the choice repeats and no rows are shuffled.  Returns the sample
-    and the rate of each stratum.  The number of strata must be small."""
-    rates = {r[0]: min(1.0, cap / r[1]) for r in df.groupBy(strata).count().collect() if r[0] is not None}
+    the key, so the choice repeats and no rows are shuffled.  Returns the sample,
+    and the rate and the rows of each stratum.  More than `most` strata raise."""
+    sizes = {r[0]: r[1] for r in df.where(F.col(strata).isNotNull()).groupBy(strata).count().limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"{strata} has more than {most} values")
+    rates = {k: min(1.0, cap / n) for k, n in sizes.items()}
     if not rates:
-        return df.where(F.lit(False)), rates
+        return df.where(F.lit(False)), rates, sizes
     rate = F.coalesce(*[F.when(F.col(strata) == F.lit(k), F.lit(v)) for k, v in rates.items()])
     picked = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < rate * 1_000_000
-    return df.where(picked), rates
+    return df.where(picked), rates, sizes
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int) -> tuple[DataFrame, dict]:
     """text, label of about cap documents of each label (labels: doc_id, label), and the
     rate of each label.  Labels are counted and sampled before they meet the documents,
     so only the sample, whose size cap bounds, is broadcast and no text is shuffled."""
-    sample, rates = hash_sample(labels.where("label is not null and doc_id is not null"), "doc_id", "label", cap)
+    sample, rates, _ = hash_sample(labels.where("label is not null and doc_id is not null"), "doc_id", "label", cap)
     return docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").where("text is not null").select("text", "label"), rates
 
 
@@ -74,13 +96,15 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     maps: list[DataFrame] = []
     while not left.isEmpty():
         up = left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
-        up = written(up, tag)
-        over = up.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        up = written(up.join(over, "p", "left").select("node", F.coalesce("pp", "p").alias("p")), tag)
+        near = written(up, tag)
+        over = near.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        up = written(near.join(over, "p", "left").select("node", F.coalesce("pp", "p").alias("p")), tag)
         maps.append(up)
         pa = up.select(F.col("node").alias("a"), F.col("p").alias("pa"))
         pb = up.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        left = written(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), tag)
+        rest = written(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), tag)
+        discard(near, left)
+        left = rest
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).where(F.lit(False))
     out = maps[0].select("node", F.col("p").alias("component"))
