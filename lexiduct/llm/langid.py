@@ -2,14 +2,15 @@
 
 Texts are lower-cased, every run of code points that are no letters counts as one
 kind of space, and the runs of 1 to 3 code points are hashed into a bounded number of
-features.  The log-probability matrix (features x languages) is small and travels
-with the function; a task scores groups of texts in numpy by gathering the matrix
-rows of their n-grams and adding them up by text.
+features.  The log-probability matrix (features x languages) is small and broadcast;
+a task scores groups of texts in numpy by gathering the matrix rows of their n-grams
+and adding them up by text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,8 +103,10 @@ def lowered(column) -> list[str]:
 
 def fit_language_model(train: DataFrame, docs_per_lang: int = 1500, max_chars: int = 1_000_000, alpha: float = 0.5) -> LanguageModel:
     """Learns from train (doc_id, text, lang): a hash sample of about docs_per_lang
-    documents of each language (of those up to max_chars long), counted in tasks."""
-    sample, _ = hash_sample(train.where("lang is not null"), "doc_id", "lang", docs_per_lang)
+    documents of each language (of those up to max_chars long), counted in tasks.  The
+    prior is each language's share of all of train.  More than 256 languages raise, as
+    the matrix has 400 kB for each."""
+    sample, _, sizes = hash_sample(train.where("lang is not null"), "doc_id", "lang", docs_per_lang)
     sample = sample.where("text is not null").where(F.length("text") <= max_chars)
     features = len(ORDERS) << BITS
 
@@ -130,22 +133,25 @@ def fit_language_model(train: DataFrame, docs_per_lang: int = 1500, max_chars: i
     for k in range(len(ORDERS)):
         part = counts[k << BITS : (k + 1) << BITS]
         logp[k << BITS : (k + 1) << BITS] = np.log((part + alpha) / (part.sum(axis=0) + alpha * len(part)))
-    prior = np.log(np.full(len(langs), 1 / max(1, len(langs))))
+    share = np.array([sizes[x] for x in langs], float)
+    prior = np.log(share / max(1.0, share.sum()))
     return LanguageModel(langs, logp.astype(np.float32), prior)
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (only the columns of keep, if given) with lang_pred string (a learned language;
-    `und` for null texts and texts without a letter) and score double (the posterior of
-    lang_pred; 0 for `und`).  Needs text; earlier columns of those names are replaced."""
-    names = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*names).schema
-    for c, t in (("lang_pred", "string"), ("score", "double")):
-        schema = schema.add(c, t)
+def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with lang_pred string (a learned language; `und` for null and empty texts and
+    texts without a letter) and score double (the posterior of lang_pred; 0 for `und`).
+    Needs text; earlier columns of those names are replaced, repeated rows are scored
+    alike, and of tied languages the first by name is given.  Only the text travels to
+    Python, and only the two results come back."""
 
-    def run(batches):
-        for b in batches:
-            lang, post = model.score(lowered(b["text"]))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(lang, pa.string()), pa.array(post)], names=[*names, "lang_pred", "score"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            lang, post = shared.value.score(lowered(t))
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(post, pa.float64())], names=["lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    found = F.arrow_udf(judge, "struct<lang_pred: string, score: double>").asNondeterministic()  # so that a filter doesn't run it again
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*names, found(F.col("text").cast("string")).alias("_found")).select(*names, "_found.lang_pred", "_found.score")

@@ -171,9 +171,10 @@ class QualityField:
         return np.where(np.diff(bounds) > 0, out, self.empty)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int = 80, max_bytes: int = 200_000, max_lines: int = 400) -> QualityField:
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int = 80, max_bytes: int = 80_000, max_lines: int = 400) -> QualityField:
     """Learns from docs (doc_id, text) and labels (doc_id, label 0/1): a hash sample of about per_class
-    documents of each class (of those up to max_bytes and max_lines) comes to the driver."""
+    documents of each class (of those up to max_bytes and max_lines, so 2 * per_class *
+    max_bytes at most) comes to the driver."""
     sample, rates = labelled_sample(docs, labels, per_class)
     got = sample.where(F.octet_length("text") <= max_bytes).toArrow()
     y = got["label"].to_numpy().astype(int)

@@ -1,14 +1,17 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A document is the set of its hashed terms: its words, and the first four and six
-characters of longer words, so that inflected insults count together.  Training keeps the terms
-whose document frequency tells the classes apart; besides a weight, each has a vector,
-and the products of two terms' vectors add what the pair means beyond its parts (an
-insult next to the mention of a group).  Only the kept terms travel to the tasks.
+characters of longer words, so that inflected insults count together.  Training keeps the
+terms whose document frequency tells the classes apart, and their partners: terms that may
+be as common in both classes but tell them apart among the documents that hold a kept
+term.  Besides a weight, each has a vector, and the products of two terms' vectors add
+what the pair means beyond its parts (an insult next to the mention of a group).  Only
+the kept terms travel to the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,10 +78,59 @@ def kept(terms: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return (pair & 0xFFFFFFFF).astype(np.int64), np.searchsorted(rows, np.arange(len(off)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_terms: int = 4096, factors: int = 8, epochs: int = 150, max_bytes: int = 1_000_000, seed: int = 7) -> FactorizationMachine:
+def apart(d1: np.ndarray, d0: np.ndarray, n1: float, n0: float, least_docs: int) -> np.ndarray:
+    """The two-proportion z of terms in d1 of n1 documents and d0 of n0; 0 for terms in
+    fewer than least_docs."""
+    p = (d1 + d0) / (n1 + n0)
+    z = np.abs(d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    z[d1 + d0 < least_docs] = 0
+    return z
+
+
+def partners(parts, y: np.ndarray, kept_terms: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
+    """For every term the largest z that it reaches among the documents of one of the kept
+    terms, where that has documents of both classes; below least_z it counts as 0."""
+    rows = np.repeat(np.arange(len(y)), np.concatenate([np.diff(o) for _, o in parts]))
+    terms = np.concatenate([x for x, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(y)))])
+    out = np.zeros(1 << BITS)
+    for t in kept_terms:
+        held = rows[terms == t]
+        n1, n0 = y[held].sum(), len(held) - y[held].sum()
+        if min(n1, n0) < least_docs:
+            continue
+        d = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
+        for r in held:
+            d[int(y[r])][terms[first[r] : first[r + 1]]] += 1
+        z = apart(d[1], d[0], n1, n0, least_docs)
+        z[t] = 0
+        np.maximum(out, z, out=out)
+    out[out < least_z] = 0
+    return out
+
+
+def fit_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_class: int = 3000,
+    max_terms: int = 4096,
+    factors: int = 8,
+    epochs: int = 150,
+    max_bytes: int = 40_000,
+    seed: int = 7,
+    least_docs: int = 3,
+    least_z: float = 3.5,
+    pair_terms: int = 64,
+    pair_z: float = 9.0,
+) -> FactorizationMachine:
     """Learns from docs (doc_id, text) and labels (doc_id, label 0/1): a hash sample of about per_class
-    documents of each class (of those up to max_bytes long) comes to the driver, and
-    Adam minimises the log-loss, each class weighted as it occurs."""
+    documents of each class (of those up to max_bytes long, so 2 * per_class * max_bytes
+    at most) comes to the driver, and Adam minimises the log-loss, each class weighted as
+    it occurs.
+
+    Of the terms in least_docs sampled documents or more, those with a z of least_z between
+    the classes are kept, and those that reach pair_z among the documents of one of the
+    pair_terms strongest of them; at most max_terms, by z."""
     sample, rates = labelled_sample(docs, labels, per_class)
     got = sample.where(F.octet_length("text") <= max_bytes).toArrow()
     y = got["label"].to_numpy().astype(np.float64)
@@ -100,10 +152,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_
             parts.append((x.astype(np.int32), xo))
         first += len(chunk)
     del got
-    # Terms whose document frequencies differ: a two-proportion z, at least 3 documents.
-    p = (d1 + d0) / len(y)
-    z = np.abs(d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[(d1 + d0 < 3) | (z < 3.5)] = 0
+    z = apart(d1, d0, n1, n0, least_docs)
+    z[z < least_z] = 0
+    strong = np.lexsort((np.arange(len(z)), -z))[:pair_terms]
+    z = np.maximum(z, partners(parts, y, strong[z[strong] > 0], least_docs, pair_z))
     best = np.lexsort((np.arange(len(z)), -z))[:max_terms]
     best = np.sort(best[z[best] > 0])
     fm = FactorizationMachine(best, 0.0, np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (len(best), factors)))
@@ -137,21 +189,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_
     return fm
 
 
-def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float = 0.3, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (only the columns of keep, if given) with score double (the probability that a text is toxic) and predicted int
+def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
+    """docs with score double (the probability that a text is toxic) and predicted int
     (score >= threshold).  Needs text; null and empty texts have no terms and get the
-    machine's bias alone.  All columns are kept but earlier ones of those names."""
-    names = [c for c in keep or docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*names).schema
-    for c, t in (("score", "double"), ("predicted", "integer")):
-        schema = schema.add(c, t)
+    machine's bias alone, repeated rows are scored alike.  All columns are kept but
+    earlier ones of those names.  Only the text travels to Python, and only the two
+    results come back."""
 
-    def run(batches):
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = fm.table()
-        for b in batches:
-            score = np.zeros(b.num_rows)
-            for lo, hi, terms, off in term_groups(b["text"]):
+        for t in texts:
+            score = np.zeros(len(t))
+            for lo, hi, terms, off in term_groups(t):
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(fm.logits(*kept(terms, off, table)), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.StructArray.from_arrays([pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["score", "predicted"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    found = F.arrow_udf(judge, "struct<score: double, predicted: int>").asNondeterministic()  # so that a filter doesn't run it again
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    return docs.select(*names, found(F.col("text").cast("string")).alias("_found")).select(*names, "_found.score", "_found.predicted")
