@@ -13,6 +13,8 @@ key tables travel to the tasks, and a larger benchmark takes more passes.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,11 +103,23 @@ def _rarity(docs: DataFrame, block: Block) -> np.ndarray:
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])
 
+    got = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(keys), np.int64)
-    for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[r.k] = r.n  # at most one row for each shingle of the block
+    out[got["k"].to_numpy()] = got["n"].to_numpy()  # at most one row for each shingle of the block
     return out
 
+def _item_blocks(items: DataFrame, block_windows: int):
+    """The items in blocks of about block_windows windows, one in memory at a time."""
+    block, size = [], 0
+    # Only the benchmark passes through the driver, item by item; it isn't the corpus.
+    for r in items.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text").toLocalIterator():
+        if size > block_windows:
+            yield block
+            block, size = [], 0
+        block.append((r.i, r.text))
+        size += len(r.text) // 2 + 1
+    yield block
+
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 4, block_windows: int = 200_000) -> DataFrame:
     """For docs (doc_id, text; other columns are ignored) and items (item_id, text):
     doc_id, n_words, hits array<struct<at, len>> (word runs inside occurring windows,
@@ -113,32 +127,29 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 13, k: i
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; null and
     empty texts have none.  Items that are null or have no word never occur.  Every row
-    of docs gives a row, repeated ids too."""
-    blocks, size = [[]], 0
-    # Only the benchmark passes through the driver, block by block; it isn't the corpus.
-    for r in items.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text").toLocalIterator():
-        if size > block_windows:
-            blocks, size = [*blocks, []], 0
-        blocks[-1].append((r.i, r.text))
-        size += len(r.text) // 2 + 1
+    of docs gives a row, repeated and null ids too."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = [_scan(plain, Block(b, window, k)) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: the runs of a document's blocks are put together by its row.
-    parts = [written(p.withColumn("_row", F.monotonically_increasing_id()), "decontam") for p in parts]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.mapInArrow(_merge, SPANS).select("doc_id", "n_words", "hits", "items")
-
-SPANS = "doc_id long, n_words long, hits array<struct<at:long,len:long>>, items array<string>"
-
-def _spans_batch(doc_ids, n_words, hits, items) -> pa.RecordBatch:
+    blocks = _item_blocks(items, block_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(plain, Block(first, window, k)).drop("text_hash")
+    # Several blocks: what they find is put together by id and text (a hash of it); rows
+    # that are equal in both are one row until the end.
+    both = None
+    for i, b in enumerate(itertools.chain((first, second), blocks)):
+        part = written(_scan(plain, Block(b, window, k)).withColumn("block", F.lit(i)), "decontam")
+        both = part if both is None else both.unionByName(part)
+    once = both.groupBy("doc_id", "text_hash", "block").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "hits", "items")])
+    merged = once.groupBy("doc_id", "text_hash").agg(F.max("copies").cast("int").alias("copies"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = merged.select("doc_id", "text_hash", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.drop("copy").mapInArrow(_merge, SPANS).select("doc_id", "n_words", "hits", "items")
+
+SPANS = "doc_id long, text_hash long, n_words long, hits array<struct<at:long,len:long>>, items array<string>"
+
+def _spans_batch(doc_ids, hashes, n_words, hits, items) -> pa.RecordBatch:
     run = pa.struct([("at", pa.int64()), ("len", pa.int64())])
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(run)), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"]
+        [doc_ids, hashes, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(run)), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "hits", "items"]
     )
 
 def _merge(batches):
@@ -152,7 +163,7 @@ def _merge(batches):
                 else:
                     out.append(dict(r))
             hits.append(out)
-        yield _spans_batch(b["doc_id"], b["n_words"].to_pylist(), hits, b["items"].to_pylist())
+        yield _spans_batch(b["doc_id"], b["text_hash"], b["n_words"].to_pylist(), hits, b["items"].to_pylist())
 
 def _scan(docs: DataFrame, block: Block) -> DataFrame:
     n_docs = _rarity(docs, block) if len(block.at) else np.zeros(0, np.int64)
@@ -211,9 +222,9 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
                         edge = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]).astype(np.int8)))
                         hits[row] = [{"at": int(s), "len": int(e - s)} for s, e in zip(edge[::2], edge[1::2])]
                         items[row] = sorted({ids[i] for i in np.unique(item[w[row_of == row]])})
-                yield _spans_batch(b["doc_id"].slice(lo, hi - lo), n_words, hits, items)
+                yield _spans_batch(b["doc_id"].slice(lo, hi - lo), b["text_hash"].slice(lo, hi - lo), n_words, hits, items)
 
-    return docs.mapInArrow(scan, SPANS)
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, SPANS)
 
 def decontamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""

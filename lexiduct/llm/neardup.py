@@ -10,10 +10,12 @@ the error, where that is asked for); every other pair is recomputed in double
 precision from the stored components.
 
 Only equal labels are compared.  Equal vectors of a label are one class, counted by
-its copies.  The classes of a label are dealt to blocks of bounded size, and a task
-compares two blocks at a time: it returns how many vectors each class links to and
-the edges of a spanning forest, so links within a large group are counted and never
-listed.  Every pair of blocks of a label is visited, as an exact answer needs.
+its copies and named by a number of its own.  The classes of a label are dealt to blocks
+of bounded bytes, which are coded once; a task compares two blocks at a time: it returns
+how many vectors each class links to and the edges of a spanning forest, so links within
+a large group are counted and never listed.  Every pair of blocks of a label is visited,
+as an exact answer needs, so the work grows with the square of a label's distinct
+vectors, and each block travels as often as its label has blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiduct.llm.shared import components, written
+from lexiduct.llm.shared import components, discard, written
 
-BLOCK = 2048
-QUERIES = 512  # compared at a time, which bounds a task's memory
+BLOCK = 1 << 20  # components of a block
+QUERIES = 256  # compared at a time, which bounds a task's memory
+
+
+#: What a block holds, row by row: class numbers, copies, vectors, sign codes, correction factors.
+HELD = ("ids", "copies", "x", "codes", "factors")
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -68,12 +74,20 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
 
 
-def links_of_blocks(xi, idx, wi, xj, idj, wj, same: bool, threshold: float, turn: np.ndarray, sigmas: float | None):
-    """Linked copies of each class of both blocks (in doubles) and forest edges."""
-    ni, nj = np.linalg.norm(xi, axis=1), np.linalg.norm(xj, axis=1)
-    ui, uj = xi / ni[:, None], xj / nj[:, None]
-    _, codes, factor = encode(ui, turn)
-    query = (uj @ turn.T).astype(np.float32)
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in doubles, each times a power of two that brings its largest component to
+    0.5..1, and their norms: cosines neither overflow nor underflow, and no digit changes
+    but of components too small to matter."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x, np.linalg.norm(x, axis=1)
+
+
+def links_of_blocks(xi, codes, factor, idx, wi, xj, idj, wj, same: bool, threshold: float, turn: np.ndarray, sigmas: float | None):
+    """Linked copies of each class of both blocks (in doubles) and forest edges.  The first
+    block takes part by its codes and factors; its vectors only where a pair is recomputed."""
+    (xi, ni), (xj, nj) = scaled(xi), scaled(xj)
+    query = ((xj / nj[:, None]) @ turn.T).astype(np.float32)
     n_i, n_j = np.zeros(len(idx), np.int64), np.zeros(len(idj), np.int64)
     a_out, b_out = [], []
     # Union-find over both blocks keeps one edge for each joining of two parts.
@@ -111,9 +125,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
     reachable), kept (vec_id = component_id), one row for each row.
 
     Vectors link if their labels are equal and not null and their cosine, in double
-    precision, is at least the threshold; vectors of different length never link.  Null,
-    empty and zero vectors and those with null or non-finite components have no links
-    and are their own component; a null vec_id is its own component too.  sigmas=None
+    precision, is at least the threshold; vectors of different length never link.  Each
+    row is a vector of its own: rows that share a vec_id link only by their vectors and
+    may so be in different components.  Null, empty and zero vectors and those with null
+    or non-finite components have no links and are their own component; so is a row with
+    a null vec_id.  Any finite doubles are fine, however large or small.  sigmas=None
     drops pairs only on the certain bound, so no link is lost."""
     spark = vectors.sparkSession
     # Blocks keep the components as they are stored; cosines are always computed in doubles.
@@ -124,35 +140,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
     rows = written(rows.withColumn("class", F.when(F.col("usable") & F.col("vec_id").isNotNull(), key)), "vec-rows")
     live = rows.where("class is not null")
     classes = live.groupBy("label", "dim", "class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = written(classes, "vec-classes")
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep", "class"), F.col("blocks")).cast("int"))
-
-    def gather(keys, batches):
-        # A block holds about BLOCK classes, dealt by hash of the class.
-        ids, copies, values = [], [], []
-        for b in batches:
-            ids += b["rep"].to_pylist()
-            copies += b["copies"].to_pylist()
-            values.append(b["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
-        label, dim, block, blocks = (k.as_py() for k in keys)
-        x = np.concatenate(values).astype(stored)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v]) for v in (label, dim, block, blocks, np.array(ids, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), x.tobytes())],
-            schema=pa.schema([("label", pa.string()), ("dim", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("x", pa.binary())]),
-        )
-
-    def gathered(table: pa.Table) -> pa.Table:
-        keys = tuple(table[c][0] for c in ("label", "dim", "block", "blocks"))
-        return pa.Table.from_batches(list(gather(keys, [table])))
-
-    packed = dealt.select("label", "dim", "block", "blocks", "rep", "copies", "embedding").groupBy("label", "dim", "block", "blocks").applyInArrow(
-        gathered, "label string, dim int, block int, blocks int, ids binary, copies binary, x binary"
-    )
-    packed = written(packed, "vec-blocks")
-    left = packed.select("label", "dim", F.col("block").alias("i"), F.col("ids").alias("ids_i"), F.col("copies").alias("copies_i"), F.col("x").alias("x_i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    right = packed.select("label", "dim", F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("copies").alias("copies_j"), F.col("x").alias("x_j"))
-    pairs = left.join(right, ["label", "dim", "j"]).select("dim", (F.col("i") == F.col("j")).alias("same"), "ids_i", "copies_i", "x_i", "ids_j", "copies_j", "x_j")
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vec-classes")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") * F.col("dim") / BLOCK).cast("int"))
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+
+    def gathered(t: pa.Table) -> pa.Table:
+        # A block has about BLOCK components, dealt by hash of the class.
+        dim = t["dim"][0].as_py()
+        x = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(stored).reshape(-1, dim)
+        wide, norm = scaled(x)
+        _, codes, factor = encode(wide / norm[:, None], rotation(dim, seed))
+        packed = [t["cid"].to_numpy(), t["copies"].to_numpy(), x, codes, factor]
+        keys = {k: pa.array([t[k][0].as_py()], kind) for k, kind in (("label", pa.string()), ("dim", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()))}
+        return pa.table(keys | {k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(HELD, packed)})
+
+    packed = dealt.select("label", "dim", "block", "blocks", "cid", "copies", "embedding").groupBy("label", "dim", "block", "blocks")
+    packed = written(packed.applyInArrow(gathered, "label string, dim int, block int, blocks int, " + ", ".join(f"{k} binary" for k in HELD)), "vec-blocks")
+    left = packed.select("label", "dim", F.col("block").alias("i"), *[F.col(k).alias(f"{k}_i") for k in HELD], F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    right = packed.select("label", "dim", F.col("block").alias("j"), *[F.col(k).alias(f"{k}_j") for k in HELD[:3]])
+    pairs = left.join(right, ["label", "dim", "j"]).select("dim", (F.col("i") == F.col("j")).alias("same"), *[f"{k}_i" for k in HELD], *[f"{k}_j" for k in HELD[:3]])
 
     def compare(batches):
         turns: dict[int, np.ndarray] = {}
@@ -162,20 +168,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
                 turn = turns.setdefault(dim, rotation(dim, seed))
                 get = lambda c, t: np.frombuffer(b[c][r].as_buffer(), t)  # noqa: B023, E731
                 idx, idj = get("ids_i", np.int64), get("ids_j", np.int64)
-                xi, xj = (get(c, stored).reshape(-1, dim).astype(np.float64) for c in ("x_i", "x_j"))
-                same = b["same"][r].as_py()
-                n_i, n_j, a, e = links_of_blocks(xi, idx, get("copies_i", np.int64), xj, idj, get("copies_j", np.int64), same, threshold, turn, sigmas)
+                xi, xj = (get(c, stored).reshape(-1, dim) for c in ("x_i", "x_j"))
+                codes, factor = get("codes_i", np.uint8).reshape(len(idx), -1), get("factors_i", np.float64)
+                n_i, n_j, a, e = links_of_blocks(xi, codes, factor, idx, get("copies_i", np.int64), xj, idj, get("copies_j", np.int64), b["same"][r].as_py(), threshold, turn, sigmas)
                 hit_i, hit_j = np.flatnonzero(n_i), np.flatnonzero(n_j)
-                rep = np.concatenate([idx[hit_i], idj[hit_j], np.array(a, np.int64)])
+                cid = np.concatenate([idx[hit_i], idj[hit_j], np.array(a, np.int64)])
                 n = np.concatenate([n_i[hit_i], n_j[hit_j], np.zeros(len(a), np.int64)])
                 to = pa.array([None] * (len(hit_i) + len(hit_j)) + [int(v) for v in e], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), to], names=["rep", "n", "to"])
-
-    found = written(pairs.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(compare, "rep long, n long, to long"), "vec-links")
-    comp = components(found.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), "vec-cc").withColumnRenamed("node", "rep")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = classes.select("label", "dim", "class", "rep", "copies").join(counts, "rep", "left").join(comp, "rep", "left")
-    named = named.select("label", "dim", "class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), to], names=["cid", "n", "to"])
+
+    found = written(pairs.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(compare, "cid long, n long, to long"), "vec-links")
+    discard(packed)
+    comp = components(found.where("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b")), "vec-cc").withColumnRenamed("node", "cid")
+    first = classes.select("cid", "rep").join(comp, "cid").groupBy("component").agg(F.min("rep").alias("first"))
+    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
+    named = classes.select("label", "dim", "class", "cid", "rep", "copies").join(counts, "cid", "left").join(comp, "cid", "left").join(first, "component", "left")
+    named = named.select("label", "dim", "class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "rep").alias("component_id"))
     out = rows.select("vec_id", "label", "dim", "class").join(named, ["label", "dim", "class"], "left")
     return out.select(
         "vec_id",

@@ -15,7 +15,7 @@ from lexiduct.llm.queries import tokenizer_path
 def test_evolve_keeps_every_item_once(seed):
     rnd = random.Random(seed)
     lens = [rnd.choice([rnd.randint(1, 99), rnd.randint(30, 60)]) for _ in range(120)]
-    bins = packing.evolve(lens, 100, [], seed, 6, 12)
+    bins, _ = packing.evolve(lens, 100, [], seed, 6, 12)
     fill = defaultdict(int)
     for n, b in zip(lens, bins, strict=True):
         fill[b] += n
@@ -24,7 +24,55 @@ def test_evolve_keeps_every_item_once(seed):
     child = packing.mutate(packing.crossover(a, b, rnd), rnd)
     assert sorted(i for x in child.bins for i in x) == list(range(120)) and min(child.room) >= 0
     # An elite is the least that comes back.
-    assert max(packing.evolve(lens, 100, [bins], seed + 9, 6, 3)) <= max(bins)
+    assert max(packing.evolve(lens, 100, [bins], seed + 9, 6, 3)[0]) <= max(bins)
+
+
+def triplets(n, cap, seed):
+    """Lengths of which three each fill n sequences to the last token, and no other way is easy."""
+    rnd, out = random.Random(seed), []
+    for _ in range(n):
+        a = rnd.randint(cap * 38 // 100, cap * 49 // 100)
+        b = rnd.randint((cap - a) * 42 // 100, (cap - a) // 2)
+        out += [a, b, cap - a - b]
+    rnd.shuffle(out)
+    return out
+
+
+def longest_first(lens, cap):
+    return len(packing.build(lens, cap, [], sorted(range(len(lens)), key=lambda i: -lens[i])).bins)
+
+
+def test_crossover_and_migration_beat_best_fit_on_hard_lengths():
+    better = 0
+    for seed in range(4):
+        lens = triplets(100, 1000, seed)
+        a, made = packing.evolve(lens, 1000, [], seed, 8, 40)
+        b, _ = packing.evolve(lens, 1000, [], seed + 50, 8, 40)
+        both, _ = packing.evolve(lens, 1000, [a, b], seed + 90, 8, 40)  # an island that got its neighbour's elite
+        none, idle = packing.evolve(lens, 1000, [], seed, 8, 0)
+        assert idle == 0 and made == 40 and longest_first(lens, 1000) >= 110 and max(none) + 1 >= 108
+        assert max(a) + 1 <= 104 and max(both) <= min(max(a), max(b))
+        better += max(both) < max(a) or max(both) < max(b)
+    assert better
+
+
+def test_islands_evolve_and_migrate_on_spark(spark, monkeypatch):
+    lens, cap, states, write = triplets(300, 1000, 5), 1000, [], packing.written
+
+    def kept(df, tag):
+        out = write(df, tag)
+        if tag == "island":
+            states.append(out)
+        return out
+
+    monkeypatch.setattr(packing, "written", kept)
+    pieces = write(spark.createDataFrame(list(enumerate(lens)), "doc_id long, length long"), "t")
+    got = packing.pack(pieces, cap, problem_items=900)
+    n = got.select("sequence_id").distinct().count()
+    assert 300 <= n <= 306 and longest_first(lens, cap) >= 330
+    assert len(states) == 2 and states[0].agg(F.min("crossovers")).first()[0] == 40 and states[1].agg(F.sum("crossovers")).first()[0] > 0
+    first, last = (min(r.bins for r in s.collect()) for s in states)
+    assert last <= first  # elites are never lost on their way
 
 
 def test_packed_documents(spark):
@@ -167,6 +215,20 @@ def brute_contamination(docs, items, window=13):
     return out
 
 
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_decontamination_of_repeated_and_null_ids(spark, block):
+    rnd = random.Random(9)
+    vocab = ["u%d" % i for i in range(12)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice([3, 13, 20])))) for i in range(12)]
+    texts = [x for _, x in items[:4]] + [" ".join(rnd.choice(vocab) for _ in range(40)) for _ in range(4)] + [None, ""]
+    docs = [(rnd.choice([None, None, 1, 2]), t) for t in texts for _ in range(3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    spans = decontam.contaminated_spans(d, spark.createDataFrame(items, "item_id long, text string"), block_windows=block).collect()
+    one = brute_contamination(list(enumerate(t for _, t in docs)), items)
+    want = sorted(((i, *one[n][:3]) for n, (i, _) in enumerate(docs)), key=str)
+    assert sorted(((r.doc_id, r.n_words, sum(h.len for h in r.hits), len(r["items"])) for r in spans), key=str) == want
+
+
 @pytest.mark.parametrize("block", [200_000, 40])
 def test_decontamination_against_brute_force(spark, block):
     rnd = random.Random(4)
@@ -226,6 +288,44 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.where("false")).collect() == []
 
 
+def test_near_duplicates_with_repeated_ids_and_extreme_doubles(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    rows = []
+    for i in range(90):
+        v = base[i % 6] + rng.normal(size=8) * 0.12
+        rows.append((int(rng.integers(0, 30)), [float(x) for x in v * 10.0 ** int(rng.choice([-200, -3, 0, 150, 300]))], "ab"[i % 2]))
+    rows += [(1, rows[0][1], "a"), (1, rows[0][1], "b"), (1, rows[3][1], "b"), (2, [1e200] + [0.0] * 7, "a"), (40, [1e200, 1e190] + [0.0] * 6, "a"), (41, [1e-200] + [0.0] * 7, "a"), (42, [5e-324] + [0.0] * 7, "a"), (None, rows[0][1], "a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row int, vec_id long, embedding array<double>, label string")
+    unit = []
+    for _, v, _ in rows:
+        v = np.array(v) / max(map(abs, v))
+        unit.append(v / np.linalg.norm(v))
+    linked = lambda i, j: i != j and None not in (rows[i][0], rows[j][0]) and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93
+    want = []
+    for i, r in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            new = {j for j in range(len(rows)) if linked(k, j)} - reach
+            reach |= new
+            todo += new
+        least = min((rows[j][0] for j in reach if rows[j][0] is not None), default=None)
+        want.append((r[0], sum(linked(i, j) for j in range(len(rows))), least, least is None or least == r[0]))
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(w[1] for w in want) > 3
+
+
+def test_near_duplicates_over_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 8))
+    x = base[rng.integers(0, 40, 400)] + rng.normal(size=(400, 8)) * 0.08
+    df = spark.createDataFrame([(i, [float(c) for c in v], "s") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    one = sorted(tuple(r) for r in neardup.near_duplicates(df).collect())
+    monkeypatch.setattr(neardup, "BLOCK", 500)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df).collect()) == one and any(r[1] for r in one)
+
+
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(2)
     dim = 64
