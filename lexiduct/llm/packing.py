@@ -74,10 +74,60 @@ def build(lengths: list[int], cap: int, whole: list[list[int]], loose) -> Packin
     return p
 
 
+def exchanged(p: Packing, loose: list[int], rng: random.Random, tries: int = 48) -> list[int]:
+    """Replaces one item or two of a bin by as many loose ones that fill it better, in some
+    of the bins that have room, and returns the items that are loose then.  These are
+    smaller in sum than before, so they fit elsewhere more easily."""
+    at = p.lengths.__getitem__
+    pool = sorted((at(i), i) for i in loose)
+    open_bins = [k for k, r in enumerate(p.room) if r]
+    for k in rng.sample(open_bins, min(tries, len(open_bins))):
+        items, room = p.bins[k], p.room[k]
+        best = (0, None)  # what the bin gains, the items to take out and those to put in
+        for i in items:
+            j = bisect_left(pool, (at(i) + room + 1, -1)) - 1
+            if j >= 0 and pool[j][0] - at(i) > best[0]:
+                best = (pool[j][0] - at(i), ((i,), (pool[j],)))
+        few = items if len(items) <= 8 else rng.sample(items, 8)
+        for x in range(len(few)):
+            for y in range(x):
+                pair = at(few[x]) + at(few[y])
+                lo, hi = 0, len(pool) - 1
+                while lo < hi and best[0] < room:
+                    total = pool[lo][0] + pool[hi][0]
+                    if total > pair + room:
+                        hi -= 1
+                        continue
+                    if total - pair > best[0]:
+                        best = (total - pair, ((few[x], few[y]), (pool[lo], pool[hi])))
+                    lo += 1
+        if best[1] is None:
+            continue
+        gone, come = best[1]
+        for c in come:
+            del pool[bisect_left(pool, c)]
+        for i in gone:
+            insort(pool, (at(i), i))
+        p.bins[k] = [i for i in items if i not in gone] + [i for _, i in come]
+        del p.rooms[bisect_left(p.rooms, (room, k))]
+        p.room[k] = room - best[0]
+        insort(p.rooms, (p.room[k], k))
+    return [i for _, i in pool]
+
+
+def rebuilt(lengths: list[int], cap: int, whole: list[list[int]], loose: list[int], rng: random.Random) -> Packing:
+    """Whole bins, then the displaced items: exchanged for smaller ones where that fills
+    a bin better, and best-fitted, longest first."""
+    p = build(lengths, cap, whole, [])
+    loose = exchanged(p, loose, rng)
+    p.best_fit(sorted(loose, key=lambda i: -lengths[i]))
+    return p
+
+
 def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
-    """Injects about half of b's best-filled bins whole into a, drops a's bins that
-    share an item with them, and best-fits the displaced items, longest first."""
-    order = sorted(range(len(b.bins)), key=lambda k: b.room[k])
+    """Injects most of b's best-filled bins whole into a, drops a's bins that share an item
+    with them, and best-fits the displaced items."""
+    order = sorted(range(len(b.bins)), key=lambda k: (b.room[k], rng.random()))
     injected = [b.bins[k] for k in order[: max(1, len(order) // 2)] if rng.random() < 0.7]
     taken = {i for x in injected for i in x}
     kept, displaced = [], []
@@ -86,22 +136,21 @@ def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
             kept.append(list(x))
         else:
             displaced += [i for i in x if i not in taken]
-    displaced.sort(key=lambda i: -a.lengths[i])
-    return build(a.lengths, a.cap, [*map(list, injected), *kept], displaced)
+    return rebuilt(a.lengths, a.cap, [*map(list, injected), *kept], displaced, rng)
 
 
 def mutate(a: Packing, rng: random.Random) -> Packing:
-    """Opens the worst bins and a few others, and best-fits their items anew."""
+    """Opens the worst bins and a few others, and places their items anew."""
     order = sorted(range(len(a.bins)), key=lambda k: -a.room[k])
     out = set(order[: max(1, len(order) // 20)]) | set(rng.sample(range(len(a.bins)), min(len(a.bins), 3)))
     loose = [i for k in out for i in a.bins[k]]
-    rng.shuffle(loose)
-    return build(a.lengths, a.cap, [list(a.bins[k]) for k in range(len(a.bins)) if k not in out], loose)
+    return rebuilt(a.lengths, a.cap, [list(a.bins[k]) for k in range(len(a.bins)) if k not in out], loose, rng)
 
 
-def evolve(lengths: list[int], cap: int, elites: list[list[int]], seed: int, population: int, generations: int) -> list[int]:
-    """The best packing found, as a bin number for each item.  Stops as soon as the
-    number of bins meets its lower bound."""
+def evolve(lengths: list[int], cap: int, elites: list[list[int]], seed: int, population: int, generations: int) -> tuple[list[int], int]:
+    """The best packing found, as a bin number for each item, and how many crossovers were
+    made for it.  Stops as soon as the number of bins meets its lower bound, which is
+    then the least there can be."""
     rng = random.Random(seed)
     bound = math.ceil(sum(lengths) / cap)
     longest = sorted(range(len(lengths)), key=lambda i: -lengths[i])
@@ -117,12 +166,14 @@ def evolve(lengths: list[int], cap: int, elites: list[list[int]], seed: int, pop
     while len(pool) < population and min(len(p.bins) for p in pool) > bound:
         noisy = sorted(longest, key=lambda i: -lengths[i] * rng.uniform(0.7, 1.3))
         pool.append(build(lengths, cap, [], noisy))
+    crossovers = 0
     for _ in range(generations):
         pool.sort(key=key)
         if len(pool[0].bins) <= bound or len(pool) < 2:
             break
         a, b = rng.sample(pool[: max(2, len(pool) // 2)], 2)
         child = crossover(a, b, rng)
+        crossovers += 1
         if rng.random() < 0.5:
             child = mutate(child, rng)
         if key(child) < key(pool[-1]):
@@ -132,7 +183,7 @@ def evolve(lengths: list[int], cap: int, elites: list[list[int]], seed: int, pop
     for k, b in enumerate(best.bins):
         for i in b:
             out[i] = k
-    return out
+    return out, crossovers
 
 
 # ---- on Spark --------------------------------------------------------------------------
@@ -169,8 +220,8 @@ def pack(
     problem_items: int = 2000,
     islands: int = 2,
     epochs: int = 2,
-    population: int = 6,
-    generations: int = 12,
+    population: int = 8,
+    generations: int = 40,
     reopen: int = 2,
 ) -> DataFrame:
     """Adds sequence_id and offset to pieces (length long of 1..max_len, any other
@@ -196,7 +247,9 @@ def pack(
             open_.groupBy(g.alias("g")).agg(F.sort_array(F.collect_list(F.struct("n", "_mid", "row"))).alias("items")).withColumn("lens", F.transform("items", lambda x: x["n"])),
             "pack-problem",
         )
-        best = _islands(held.select("g", "lens"), max_len, islands, epochs, population, generations, level)
+        # Rows are few and small but cost seconds each, so their tasks go by number, not by bytes.
+        tasks = min(problems * islands, max(4 * pieces.sparkSession.sparkContext.defaultParallelism, problems * islands // 64))
+        best = _islands(held.select("g", "lens"), max_len, islands, epochs, population, generations, level, tasks)
         packed = held.join(best, "g").select("g", "last", F.explode(F.arrays_zip("items", "bin", "offset", "worst")).alias("x"))
         packed = written(packed.select("g", F.col("x.items.row").alias("row"), F.col("x.items.n").alias("n"), F.col("x.items._mid").alias("_mid"), F.col("x.bin").alias("bin"), F.col("x.offset").alias("offset"), F.col("x.worst").alias("worst")), "packed")
         final = problems == 1
@@ -217,11 +270,11 @@ def _size(open_: DataFrame) -> tuple[int, int]:
     return n, tokens or 0
 
 
-def _islands(problems: DataFrame, cap: int, islands: int, epochs: int, population: int, generations: int, level: int) -> DataFrame:
+def _islands(problems: DataFrame, cap: int, islands: int, epochs: int, population: int, generations: int, level: int, tasks: int) -> DataFrame:
     """The best packing of each problem: g, and for each item bin, offset and the rank
     of its bin from the worst filled (0)."""
     state = problems.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.expr("cast(array() as array<array<int>>)"))
-    schema = "g long, island int, lens array<int>, elite array<int>, bins int"
+    schema = "g long, island int, lens array<int>, elite array<int>, bins int, crossovers int"
     for epoch in range(epochs):
 
         def run(frames, epoch=epoch):
@@ -229,11 +282,11 @@ def _islands(problems: DataFrame, cap: int, islands: int, epochs: int, populatio
                 out = []
                 for g, i, lens, elites in zip(f["g"], f["island"], f["lens"], f["elites"]):
                     lens = [int(x) for x in lens]
-                    elite = evolve(lens, cap, [list(map(int, e)) for e in elites], hash((level, int(g), int(i), epoch)), population, generations)
-                    out.append((g, i, lens, elite, max(elite, default=-1) + 1))
-                yield pd.DataFrame(out, columns=["g", "island", "lens", "elite", "bins"])
+                    elite, made = evolve(lens, cap, [list(map(int, e)) for e in elites], hash((level, int(g), int(i), epoch)), population, generations)
+                    out.append((g, i, lens, elite, max(elite, default=-1) + 1, made))
+                yield pd.DataFrame(out, columns=["g", "island", "lens", "elite", "bins", "crossovers"])
 
-        state = written(state.select("g", "island", "lens", "elites").repartition("g", "island").mapInPandas(run, schema), "island")
+        state = written(state.select("g", "island", "lens", "elites").repartition(tasks, "g", "island").mapInPandas(run, schema), "island")
         if epoch + 1 < epochs:
             # Each island's elite moves to the next of its problem's ring; both stay.
             movers = state.select("g", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("guest"))
