@@ -10,6 +10,7 @@ keeps or drops each block; the kept blocks, in page order, are the text.
 from __future__ import annotations
 
 import html as html_lib
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -43,6 +44,9 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
+VARIANTS = 12  # pages from a line of the labelled table
+LEAST_BLOCKS = 12  # on either side of a split of the tree
+
 FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_article", "boiler", "comment", "heading", "list_item", "sentence", "main_name")
 
 
@@ -191,7 +195,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = LEAST_BLOCKS) -> Node:
     """A CART tree by Gini impurity; of equal splits the first feature wins."""
     node = Node(float(y.mean()))
     if depth == 0 or node.keep in (0.0, 1.0) or len(y) < 2 * least:
@@ -233,40 +237,128 @@ def decide(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-# The labelled table: pages whose blocks are marked by their first character,
-# + for the main text and - for all else (the mark is not part of the text).
-_LONG = "The river rose two metres in a single night, and by the morning the lower streets of the town were under water."
-_MORE = "Nobody was hurt, said the mayor, who had spent the night at the bridge, but the damage will take months to repair."
-_SHORT = "It rained."
-LABELLED_PAGES = [
-    f"""<html><head><title>-x</title></head><body><nav><ul><li><a href=a>-Home</a></li><li><a href=b>-News</a></li><li><a href=c>-Sport</a></li></ul></nav>
-    <div class="ad">-Buy two pairs of shoes and get a third one for free, only this week.</div><article><h1>+The river rose in the night</h1><p>+{_LONG}</p><p>+{_SHORT}</p><p>+{_MORE}</p></article>
-    <footer>-&copy; example &middot; All rights reserved by the owners.</footer></body></html>""",
-    f"""<body><header><div>-The Daily Paper</div><form><p>-Search the archive</p></form></header><main><h1>+A night at the bridge</h1><p>+{_MORE}</p><ul><li>+Two boats were lost.</li><li>+One was found.</li></ul>
-    <p>+Yes.</p><aside><p>-Read also: <a href=x>-ten rivers that you should see before you die</a></p></aside><p>+{_LONG}</p></main><div id="comments"><h2>-3 comments</h2><p>-I was there that night and I saw all of it with my own eyes, it was terrible.</p><p>-Same here.</p></div></body>""",
-    f"""<body><div class="cookie-notice"><p>-We use cookies to make this site work, to count visits and to show you adverts.</p><button>-Accept</button></div><div class="menu"><a href=1>-One</a> <a href=2>-Two</a></div>
-    <div class="content"><h2>+Dry again</h2><p>+{_LONG} {_MORE}</p><p>+The <a href=z>water board</a> has promised to look at the dam before the winter, and so has the council.</p></div>
-    <div class="sidebar"><p>-Most read</p><p><a href=q>-Why the price of bread has gone up again this year</a></p></div><div class="footer"><p>-Contact us for all questions about this site and its pages.</p></div></body>""",
-    f"""<body><p><a href=1>-Home</a> | <a href=2>-About</a> | <a href=3>-Contact</a></p><div><p>+{_LONG}</p><p>+{_MORE}</p><p>+{_LONG} {_MORE}</p></div><p><a href=4>-Next page</a></p><p><a href=5>-Imprint</a> <a href=6>-Privacy</a></p></body>""",
-    f"""<body><article><header><h1>+Headline of the day</h1></header><div class="share"><a href=t>-Share</a></div><p>+{_SHORT}</p><blockquote><p>+{_MORE}</p></blockquote><div class="newsletter"><form><p>-Get our newsletter every morning in your mail box.</p></form></div>
-    <p>+End.</p><section class="comments"><p>-What a story, thank you so much for writing it down for all of us to read.</p></section></article><section class="related"><h3>-More stories</h3><p><a href=u>-A bridge too far</a></p></section></body>""",
-    f"""<body><div role="navigation"><span>-Menu</span></div><div id="advert"><p>-Cheap flights to the sun.</p></div><main><article><h1>+Short</h1><p>+{_SHORT}</p></article></main><div class="alert"><p>-This site will be down for an hour on Sunday night.</p></div></body>""",
-    f"""<body><article><h1>+Links</h1><p>+Go.</p><ol><li><a href=k>+The first of the sources</a></li><li>+The second of them.</li></ol><p><a href=l>+A paragraph that is nothing but a link to some other place.</a></p><p>+{_LONG}</p></article><footer><p>-{_MORE}</p></footer></body>""",
-    f"""<body><div><h1>+No article tag</h1><p>+{_MORE}</p><p>+{_SHORT}</p><p>+{_LONG}</p></div><div class="comments"><p>-{_LONG}</p></div><aside><p>-{_MORE}</p></aside><form><p>-{_LONG}</p></form></body>""",
-    f"""<body><p>+{_LONG}</p><p>+{_MORE}</p></body>""",
-    f"""<body><main><div class="banner"><p>-{_LONG}</p></div><article><p>+{_LONG}</p><table><tr><td>+Rain</td><td>+40 mm</td></tr></table><p>+So it was.</p></article><section id="comments"><article><p>-{_MORE}</p></article></section></main></body>""",
-]
+# The labelled table, one page a line.  A part is `tag.class: blocks`, parts may nest by
+# `tag.class > tag.class: blocks`, and parts are parted by `|`.  A block is + (main text)
+# or - (all else), its element (p where none is named, li, h2, h3, td, div ...) and its
+# number of words; /n says that the last n of them are a link.  No name tells anything
+# about most of these pages: blocks are told by their words and links, and by those around.
+LABELLED_PAGES = """
+div: -div1/1 -div1/1 -div2/2 -div1/1 | div: +h26 +31 +44 +18 +52 | div: -div3/3 -div4/4 -div2
+div: -div2/2 -div1/1 -div3/3 | div: +h24 +24 +4 +37 +3 +41 | div: -div5/5 -div6/6
+div: -4/1 -3/2 | div: +h25 +60 +26 +9 +33 | div: -6/3 -7/3 -5/2
+div: -div3 -div1/1 -div1/1 | div: +22 +2 +47 +29/4 +38 | div: -div8/8 -div7/7 -div9/9 -div3
+div: -li1/1 -li2/2 -li1/1 -li1/1 | div: +h27 +35 +li5 +li8 +li6 +40 | div: -li6/6 -li4/4 -li7/7
+div: -div2/1 -div2/2 | div: +h23 +19 +58/6 +27/9 +5 +36 | div: -div4 -div2/2 -div2/2
+div: -div1/1 -div1/1 | div: +16 +14 +21 | div: -div3/2 -div2/1
+div: -div2 -div1/1 -div3/2 | div: +45 +6 +51 | div: -div5 -div4/4 -div3
+section: -li1/1 -li1/1 -li2/2 | section: +h24 +28 +33 +7 +64 | section: -3 -li8/8 -li9/9 -li11/11 -li7/7
+div: -div6/6 | div: +h28 +70 +12 +41 +15 | div: -div2 -div10/10 -div12/12 -div9/9
+div: -div1/1 -div1/1 -div1/1 -div1/1 | div: +h25 +20 +3 +2 +34 | div: -div6/2 -div4/2
+div: -p2/2 -p3/3 | div: +55 +48 +61 +30 | div: -p2/2 -p1/1 -p4
+div: -div3 -div2 -div4/1 | div: +h26 +42 +37 +39 | div: -div2 -div3 -div1/1
+div: -div4 -div6/5 -div7/6 -div5/4 | div: +h24 +26 +5 +46 +18 | div: -div3 -div7/5 -div8/6
+p: -1/1 -1/1 -2/2 | p: +40 +3 +56 +28 | p: -2/2 -3/3
+td: -td1/1 -td2/2 -td1/1 | td: +p38 +p6 +p45 +p27 | td: -td4 -td2/2 -td3/3
+nav: -li1/1 -li1/1 -li2/2 -li1/1 | div.ad: -9 | article: +h27 +34 +2 +41 +6 | footer: -11
+nav: -li1/1 -li1/1 | div.ad: -12 | article: +h25 +2 | footer: -14
+nav: -li2/2 -li1/1 -li1/1 | article: +h24 +3 +5 +2 | footer: -6
+nav: -li1/1 -li3/3 | article: +h29 +8 | aside: -22 -7/7 | footer: -9
+article: +h22 +1
+article: +h26 +12/12 +30 +9/9 +2 +li4/4 +li3/3 +26 | footer: -10/3
+article: +3 +4/4 +18 +7/7 +1
+main: +h25 +23 +2 +38/5 +li3 +li5 | aside: -5 -9/9 | footer: -13/2
+main: +h24 +4 | div.newsletter: -14 | footer: -8
+header: -4 | main: +h26 +27 +3 +div5 +44 | div.sidebar: -18 -6/6 -25 | footer: -16
+header: -3 -li1/1 | article > header: +h25 +6 | article: +29 +4 +36 | article > footer: -7 | footer: -9
+header: -5 -9 | article > div.share: -1/1 -2/2 | article: +h27 +31 +2 | article > div.promo: -13 -21 | article: +40 +5 | footer: -20
+article: +h25 +26 +7 | section.comments: -h32 -30 -2 -24 -3 | footer: -9
+article: +h24 +44 +2 +38 | div#comments: -18 -1 -52 -7 | footer: -5
+main: +h24 +35 +20 | main > div.comment-list: -27 -4 -40 -12
+article: +h25 +33 | article > section.replies: -22 -3 -31 | footer: -7
+div.cookie-notice: -24 -1 | article: +h26 +19 +2 +33 | footer: -8
+div.alert: -13 | main: +h24 +3 +17 | footer: -9
+div.banner: -34 | article: +h23 +41 +5 | footer: -30
+div.modal: -28 -2 | div: +h25 +37 +29 +46 | div.footer: -19
+div.content: +h25 +36 +2 +5 +29 | div.sidebar: -31 -4 -5/5 | div.footer: -22 -15
+div.post: +h26 +3 +41 | div.related: -3 -8/8 -11/11 | div.comments: -44 -2 -16
+div.entry: +h24 +25/3 +6 | div.widget: -16 -23 | form: -9 -2
+form: -8 -3 | article: +h24 +17 +28 +4 | form: -21 -2
+div.menu: -2/2 -1/1 -3 -5 | div: +50 +36 +43 | div.advert: -15 -26
+aside: -33 -40 | article: +h25 +48 +9 +2 | aside: -28 -3
+nav: -7 -12 -3 | article: +h24 +22 +14 | nav: -9 -2/2
+main: +h26 +td1 +td2 +td1 +td3 +40 | footer: -12/1
+article: +h25 +1 +1 +2 +3 +2 +24 | footer: -7/7 -2/2
+article: +h24 +30 +10
+article: +h22 +3 +14
+article: +40 +18 +6
+article: +h24 +27 +3 +21/6 +2 +34/11 +1 | footer: -11
+main: +h23 +2 +14/5 +3 +19/19 +26 | footer: -5/5 -3/3 -6/6
+main: +26 +li2/2 +li1/1 +li3/3 +31 +2 | div: -2/2 -1/1
+article: +h24 +12 +li1/1 +li2/2 +9 | div: -3 -1/1
+nav: -li1/1 -li1/1 -li1/1 -li1/1 -li1/1 -li1/1 | div.ad: -8 | article: +h28 +45 +52 +2 +61 +4 +33 | footer: -16
+nav: -li1/1 -li1/1 -li1/1 -li1/1 -li1/1 -li1/1 | div.ad: -10 | article: +h22 +7 | footer: -12
+nav: -li1/1 -li2/2 | div.ad: -7 | article: +h26 +19 +1
+div: -div1/1 -div2/2 -div1/1 | div: +h24 +44 +2 +1 +39 +8/3 +50 | div: -div2/2 -div1/1
+div: -2/2 -1/1 -1 | div: +33 +4 +29 +7/2 +35 | div: -4 -2 -1/1
+main: +h25 +12 +5 | div: -9 -5/5 -4
+div: -6 -3/3 -2/2 | article: +h24 +16 +3 +28 +11 | div: -14 -6/6 -3
+main: +11 +2 +h23 +20 +6 +h22 +4 +18
+div: -div1/1 -div2/2 -div1 | div: +38 +3 +41 +29 | div: -div3/3 -div2
+div: -td2/2 -td1/1 -td2 | div: +44 +2 +27 | p: -2/2 -3
+div: -div1/1 -div1 | div: +31 +35 +4 +48 | div: -div4/4 -div1
+p: -2/2 -1 | p: +29 +1 +52 +2 +37 | p: -3/3 -2
+div: +div33 +div27 +div45
+div: +3 +40 +2 +36
+div: -div1/1 -div2/2 | div: +2 +43 +3 +39 | div: -div2/2
+div: +38 +2 | div.disclaimer: -36
+"""
+
+
+def _sentence(n: int, k: int) -> str:
+    """n words that differ from block to block."""
+    return " ".join(chr(97 + (k * 7 + i * 3) % 26) * (1 + (k + i) % 6) for i in range(n)) + "."
+
+
+def labelled_pages(variants: int = VARIANTS) -> list[tuple[str, list[bool]]]:
+    """The labelled pages as HTML, and for each of their blocks whether it is main text.
+    Each line gives several pages, whose blocks are from half to twice as long as it says."""
+    out, k = [], 0
+    for line, turn in itertools.product(LABELLED_PAGES.strip().splitlines(), range(variants)):
+        page, marks = [], []
+        for part in line.split("|"):
+            path, blocks = part.split(": ")
+            ends = []
+            for step in path.split(">"):
+                tag, _, name = step.strip().replace("#", ".").partition(".")
+                ends.append(f"</{tag}>")
+                page.append(f'<{tag} class="{name}">' if name else f"<{tag}>")
+            for block in blocks.split():
+                mark, tag, n, _, link = _BLOCK.match(block).groups()
+                k += 1
+                # Of the golden ratio's multiples, the fractions are spread evenly.
+                size = max(1, round(int(n) * 2 ** (2 * (k * 0.6180339887 % 1) - 1))) if turn else int(n)
+                link = round(size * int(link or 0) / int(n))
+                words = _sentence(size, k).split()
+                inner = " ".join(words[: size - link]) + (f" <a href=x>{' '.join(words[size - link :])}</a>" if link else "")
+                page.append(f"<{tag or 'p'}>{inner}</{tag or 'p'}>")
+                marks.append(mark == "+")
+            page += reversed(ends)
+        out.append(("".join(page), marks))
+    return out
+
+
+_BLOCK = re.compile(r"([+-])(h[1-6]|[a-z]*)(\d+)(/(\d+))?$")
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages."""
     xs, ys = [], []
-    for page in LABELLED_PAGES:
+    for page, marks in labelled_pages():
         found = blocks_of(page)
-        for b in found:
-            b.words = len(re.sub(r"(^|(?<= ))[+-]", "", b.text).split())
+        if len(found) != len(marks):
+            raise ValueError(f"a labelled page has {len(found)} blocks and {len(marks)} marks: {page}")
         xs.append(features(found))
-        ys.append(np.array([b.text.lstrip("|( ")[0] == "+" for b in found], float))
+        ys.append(np.array(marks, float))
     return np.concatenate(xs), np.concatenate(ys)
 
 
