@@ -4,12 +4,13 @@ The file's normaliser (NFC, white space, lower case) and its split pattern are
 applied in numpy for texts of code points below U+0180, whose NFC form and lower
 case are known; the distinct words of a group of texts are looked up in a bounded
 cache, and the missing ones are encoded by the library, many in one call.  Any
-other text, and any that holds a special token's string, goes through the library
-whole.
+other text, any that holds a special token's string, and every text where the file says
+something else, goes through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -22,9 +23,24 @@ LIMIT = 0x180
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Suffixes that the file's split pattern takes as one piece after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+# What a file must say for the fast way to equal the library.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+NORMALISE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENISE = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+END_OF_WORD = "</w>"
+
+
+def fits(spec: dict) -> bool:
+    """Whether a tokenizer file is of the one kind that the fast way knows."""
+    steps = lambda part, key: (spec.get(part) or {}).get(key)
+    return steps("normalizer", "normalizers") == NORMALISE and steps("pre_tokenizer", "pretokenizers") == PRETOKENISE and steps("model", "type") == "BPE" and steps("model", "end_of_word_suffix") == END_OF_WORD and not steps("model", "dropout")
+
+
 def _kind(c: str) -> int:
     if c.isspace() and not 0x1C <= ord(c) <= 0x1F:
         return SPACE
@@ -46,9 +62,11 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.fits = fits(json.load(f))
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 2, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.ends[[i for t, i in vocab.items() if t.endswith(END_OF_WORD)]] = True
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.most = cache_words
         self._clear()
@@ -69,7 +87,7 @@ class WordBpe:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.int32)
-            elif any(s in t for s in self.special):
+            elif not self.fits or any(s in t for s in self.special):
                 out[i] = self.whole(t)
             else:
                 fast.append(i)

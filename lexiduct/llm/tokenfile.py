@@ -145,11 +145,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     (ids in all shards before).
 
     A null or empty text has the end id alone; null ids come first; repeated ids keep
-    all their rows, next to each other, ordered by text.  Documents are dealt by range,
-    so a shard needs no other; one task holds a batch of texts and a block of ids."""
+    all their rows, next to each other, in the order of a hash of their texts.  Documents
+    are dealt by ranges of id and hash, so a shard needs no other, and an id that very
+    many rows share is dealt to several; one task holds a batch of texts and a block of ids."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = plain.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    plain = plain.withColumn("_hash", F.xxhash64("text"))
+    ordered = plain.repartitionByRange("doc_id", "_hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_hash", "text").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext

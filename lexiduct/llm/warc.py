@@ -109,7 +109,8 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html (null: empty) and original: the smallest page_id with the same
     payload, where the page revisits it, else null.  Payloads of fewer than least_bytes
     never revisit.  Only digests shared by several ids are joined back; rows of one
-    page_id and payload are the same page, and none of them revisits another."""
+    page_id and payload are the same page, and none of them revisits another.  A page with
+    a null page_id is a response of its own that no other revisits."""
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     plain = plain.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     shared = plain.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id <> last_id").select("sha", "first_id")
