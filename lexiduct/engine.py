@@ -61,7 +61,7 @@ class Engine:
         """Reads the live version anew.  What was resident came from the version before, so
         the hot set and its counters start empty; usage asked so far is written first."""
         self.flush_usage()
-        self.spark.catalog.refreshByPath(str(self.store.home))
+        self.spark.catalog.refreshByPath(self.store.home)
         self._empty()
         return self.store.current()
 

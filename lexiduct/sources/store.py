@@ -9,16 +9,15 @@
     <root>/<project>/blacklist, sources.json, pinned_prefixes.txt
 
 Data is written before the pointer, so a reader sees a whole version or the one
-before.  Pointers and manifests are small and written by the driver; the root must be
-a path that the driver and the executors share.
+before.  Pointers and manifests are small and written by the driver; the root may be on
+any file system that Spark can use and the executors share.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
-import shutil
+import tempfile
 import zipfile
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lexiduct.operators import corpus as C
 from lexiduct.operators import setops, usage
+from lexiduct.sources.tree import Tree
 
 STAGING = "staging"
 DEFAULT_PROJECT = "default"
@@ -54,12 +54,6 @@ class ApplyResult:
     diff: dict | None = None
 
 
-def _replace_text(path: Path, text: str) -> None:
-    tmp = path.with_name(path.name + ".tmp")
-    tmp.write_text(text)
-    os.replace(tmp, path)
-
-
 def valid_project(name: str) -> bool:
     """1 to 48 bytes of lower-case letters, digits and inner hyphens."""
     return 1 <= len(name.encode()) <= 48 and all(c.islower() or c.isdigit() or c == "-" for c in name) and name[0] != "-" and name[-1] != "-"
@@ -69,32 +63,35 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, project: str = DEFAULT_PROJECT):
         if not valid_project(project):
             raise ValueError(f"bad project name: {project!r}")
-        self.spark, self.root, self.project = spark, Path(root), project
-        self.home = self.root / project
-        (self.home / "versions").mkdir(parents=True, exist_ok=True)
+        self.spark, self.root, self.project, self.tree = spark, str(root).rstrip("/"), project, Tree(spark)
+        self.home = f"{self.root}/{project}"
+        self.tree.make(f"{self.home}/versions")
 
     # -- versions ------------------------------------------------------------------------
 
-    def version_dir(self, version: str) -> Path:
-        return self.home / "versions" / version
+    def version_dir(self, version: str) -> str:
+        return f"{self.home}/versions/{version}"
+
+    def has_version(self, version: str) -> bool:
+        return self.tree.exists(self.version_dir(version))
 
     def versions(self) -> list[str]:
         """vN names in numeric order."""
-        names = [p.name for p in (self.home / "versions").iterdir() if re.fullmatch(r"v\d+", p.name)]
+        names = [n for n in self.tree.names(f"{self.home}/versions") if re.fullmatch(r"v\d+", n)]
         return sorted(names, key=lambda v: int(v[1:]))
 
     def next_version(self) -> str:
         return f"v{max([0, *(int(v[1:]) for v in self.versions())]) + 1}"
 
     def current(self) -> str | None:
-        p = self.home / "current.version"
-        return p.read_text().strip() or None if p.exists() else None
+        p = f"{self.home}/current.version"
+        return self.tree.read(p).strip() or None if self.tree.exists(p) else None
 
     def set_current(self, version: str) -> None:
-        _replace_text(self.home / "current.version", version + "\n")
+        self.tree.write(f"{self.home}/current.version", version + "\n")
 
     def manifest(self, version: str) -> Manifest:
-        return Manifest(**json.loads((self.version_dir(version) / "manifest.json").read_text()))
+        return Manifest(**json.loads(self.tree.read(f"{self.version_dir(version)}/manifest.json")))
 
     def manifests(self) -> DataFrame:
         rows = [asdict(self.manifest(v)) for v in self.versions()]
@@ -104,7 +101,7 @@ class Store:
         version = version or self.current()
         if version is None:
             raise FileNotFoundError("the project has no corpus")
-        return self.spark.read.schema("word string").parquet(str(self.version_dir(version) / "corpus"))
+        return self.spark.read.schema("word string").parquet(f"{self.version_dir(version)}/corpus")
 
     def word_count(self, version: str | None = None) -> int:
         """From the manifest, without a scan."""
@@ -115,13 +112,13 @@ class Store:
         """Writes a sorted corpus, if asked its skip index, then its manifest.  The count comes
         from the written files."""
         home = self.version_dir(version)
-        if home.exists():
-            shutil.rmtree(home)
-        C.ordered(words.select("word")).write.parquet(str(home / "corpus"))
+        self.tree.delete(home)
+        C.ordered(words.select("word")).write.parquet(f"{home}/corpus")
+        written = self.spark.read.schema("word string").parquet(f"{home}/corpus")
         if stride:
-            C.skip_index(self.spark.read.schema("word string").parquet(str(home / "corpus")), stride).withColumn("stride", F.lit(stride)).write.parquet(str(home / "skip_index"))
-        m = Manifest(version, source, self.spark.read.schema("word string").parquet(str(home / "corpus")).count(), parent, mode)
-        _replace_text(home / "manifest.json", json.dumps(asdict(m), indent=2))
+            C.skip_index(written, stride).withColumn("stride", F.lit(stride)).write.parquet(f"{home}/skip_index")
+        m = Manifest(version, source, written.count(), parent, mode)
+        self.tree.write(f"{home}/manifest.json", json.dumps(asdict(m), indent=2))
         return m
 
     def ensure(self) -> str:
@@ -133,10 +130,10 @@ class Store:
 
     def skip_index(self, version: str | None = None) -> DataFrame:
         """word, offset, stride: the anchors stored beside a version."""
-        path = self.version_dir(version or self.current()) / "skip_index"
-        if not path.exists():
-            raise FileNotFoundError(f"{path.parent.name} has no skip index")
-        return self.spark.read.schema("word string, offset long, stride int").parquet(str(path))
+        path = f"{self.version_dir(version or self.current())}/skip_index"
+        if not self.tree.exists(path):
+            raise FileNotFoundError(f"there is no {path}")
+        return self.spark.read.schema("word string, offset long, stride int").parquet(path)
 
     def export_text(self, to: str, version: str | None = None) -> None:
         """The corpus as text files, a word a line, which read in the order of their names
@@ -149,7 +146,7 @@ class Store:
         and its parent, unless given, is the current one."""
         parent = parent if parent is not None else "" if version else self.current() or ""
         version = version or self.next_version()
-        if self.version_dir(version).exists():
+        if self.has_version(version):
             raise FileExistsError(f"{version} exists")
         m = self.write_version(C.build_corpus(values), version, source, mode, parent, stride)
         if self.current() is None:
@@ -163,13 +160,13 @@ class Store:
         return m
 
     def staged(self) -> DataFrame:
-        if not (self.version_dir(STAGING) / "manifest.json").exists():
+        if not self.tree.exists(f"{self.version_dir(STAGING)}/manifest.json"):
             raise FileNotFoundError("nothing is staged")
         return self.words(STAGING)
 
     def delete_staging(self) -> None:
         self.staged()
-        shutil.rmtree(self.version_dir(STAGING))
+        self.tree.delete(self.version_dir(STAGING))
 
     def diff(self) -> DataFrame:
         return setops.diff(self.words(), self.staged())
@@ -198,12 +195,12 @@ class Store:
             moved = True
         self.set_current(new)
         if mode != "prune":
-            shutil.rmtree(self.version_dir(STAGING), ignore_errors=True)
+            self.tree.delete(self.version_dir(STAGING))
         return ApplyResult(new, previous or "", m.word_count, mode, moved, report)
 
     def rollback(self, version: str) -> tuple[str, str]:
         """Makes an older version current; returns (previous, current)."""
-        if not (self.version_dir(version) / "corpus").exists() or not (self.version_dir(version) / "manifest.json").exists():
+        if not all(self.tree.exists(f"{self.version_dir(version)}/{x}") for x in ("corpus", "manifest.json")):
             raise FileNotFoundError(f"{version} has no corpus")
         previous = self.current() or ""
         self.set_current(version)
@@ -212,15 +209,15 @@ class Store:
     def delete_version(self, version: str) -> None:
         if not version or any(c in version for c in "/\\.") or version == STAGING or version == self.current():
             raise ValueError(f"can't delete {version!r}")
-        if not self.version_dir(version).exists():
+        if not self.has_version(version):
             raise FileNotFoundError(version)
-        shutil.rmtree(self.version_dir(version))
+        self.tree.delete(self.version_dir(version))
 
     def retain(self, keep: int = 3) -> list[str]:
         """Deletes all but the newest versions, never the current one; returns those deleted."""
         old = [v for v in self.versions()[: -keep or None] if v != self.current()]
         for v in old:
-            shutil.rmtree(self.version_dir(v))
+            self.tree.delete(self.version_dir(v))
         return old
 
     # -- usage, blacklist, sources -------------------------------------------------------
@@ -228,33 +225,34 @@ class Store:
     def write_usage(self, hits: DataFrame, seen: DataFrame, version: str | None = None) -> None:
         home = self.version_dir(version or self.current())
         for name, df in (("usage_hits", hits.select("prefix", "hits")), ("surfaced", seen.select("word"))):
-            df.write.mode("overwrite").parquet(str(home / f"{name}.new"))
-            shutil.rmtree(home / name, ignore_errors=True)
-            os.replace(home / f"{name}.new", home / name)
+            self._swap_in(df, f"{home}/{name}")
+
+    def _swap_in(self, df: DataFrame, path: str) -> None:
+        """Writes a table beside another one, which df may read, and puts it in its place."""
+        df.write.mode("overwrite").parquet(f"{path}.new")
+        self.tree.delete(path)
+        self.tree.rename(f"{path}.new", path)
 
     def reset_usage(self) -> None:
         self.write_usage(self.spark.createDataFrame([], "prefix string, hits long"), self.spark.createDataFrame([], "word string"))
 
     def usage_hits(self, version: str | None = None) -> DataFrame | None:
-        p = self.version_dir(version or self.current() or "v0") / "usage_hits"
-        return self.spark.read.schema("prefix string, hits long").parquet(str(p)) if p.exists() else None
+        p = f"{self.version_dir(version or self.current() or 'v0')}/usage_hits"
+        return self.spark.read.schema("prefix string, hits long").parquet(p) if self.tree.exists(p) else None
 
     def surfaced(self, version: str | None = None) -> DataFrame:
-        return self.spark.read.schema("word string").parquet(str(self.version_dir(version or self.current()) / "surfaced"))
+        return self.spark.read.schema("word string").parquet(f"{self.version_dir(version or self.current())}/surfaced")
 
     def blacklist(self) -> DataFrame:
-        p = self.home / "blacklist"
-        return self.spark.read.schema("word string").parquet(str(p)) if p.exists() else self.spark.createDataFrame([], "word string")
+        p = f"{self.home}/blacklist"
+        return self.spark.read.schema("word string").parquet(p) if self.tree.exists(p) else self.spark.createDataFrame([], "word string")
 
     def add_to_blacklist(self, words: list[str], rebuild: bool = True) -> dict:
         """Records words and, if asked, rebuilds the corpus without them as a new version."""
         new = self.spark.createDataFrame([(w,) for w in words], "word string")
         listed, counts = setops.blacklist_add(self.blacklist(), new)
         out = counts.first().asDict()
-        tmp = self.home / "blacklist.new"
-        listed.write.mode("overwrite").parquet(str(tmp))
-        shutil.rmtree(self.home / "blacklist", ignore_errors=True)
-        os.replace(tmp, self.home / "blacklist")
+        self._swap_in(listed, f"{self.home}/blacklist")
         if rebuild and self.current():
             previous, version = self.current(), self.next_version()
             before = self.word_count(previous)
@@ -267,12 +265,12 @@ class Store:
 
     def sources(self) -> list[dict]:
         """The import history, newest first."""
-        p = self.home / "sources.json"
-        return sorted(json.loads(p.read_text()) if p.exists() else [], key=lambda r: r["imported_at"], reverse=True)
+        p = f"{self.home}/sources.json"
+        return sorted(json.loads(self.tree.read(p)) if self.tree.exists(p) else [], key=lambda r: r["imported_at"], reverse=True)
 
     def add_source(self, **row) -> None:
         row.setdefault("imported_at", datetime.now(timezone.utc).isoformat())
-        _replace_text(self.home / "sources.json", json.dumps([*reversed(self.sources()), row], indent=2))
+        self.tree.write(f"{self.home}/sources.json", json.dumps([*reversed(self.sources()), row], indent=2))
 
     def ingest_csv(self, path: str, column: str, mode: str = "merge", keep: int = 3) -> ApplyResult:
         """CSV column -> stage -> apply -> retention, with an entry in the import history."""
@@ -291,13 +289,15 @@ class Store:
     # -- backup --------------------------------------------------------------------------
 
     def backup(self, to: str) -> int:
-        """Zips the project without staging and unfinished files; returns the files' number."""
+        """Zips the project without staging and unfinished files into a local file; returns
+        the files' number."""
         n = 0
-        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(self.home.rglob("*")):
-                parts = p.relative_to(self.home).parts
-                if p.is_file() and STAGING not in parts and ".tmp" not in parts and not p.name.endswith((".tmp", ".new")):
-                    z.write(p, "/".join(parts))
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z, tempfile.TemporaryDirectory() as local:
+            for name in self.tree.files(self.home):
+                parts = name.split("/")
+                if STAGING not in parts and not any(x.endswith((".tmp", ".new")) or x == ".tmp" for x in parts):
+                    self.tree.fetch(f"{self.home}/{name}", f"{local}/one")
+                    z.write(f"{local}/one", name)
                     n += 1
         return n
 
@@ -305,35 +305,36 @@ class Store:
         """Replaces the project by a backup.  Names that leave the folder are refused, and a
         backup without a readable current version, or one that can't take its place, leaves
         all as it was."""
-        new, old = self.home.with_name(self.project + ".restore"), self.home.with_name(self.project + ".before")
-        if old.exists() and not self.home.exists():
-            os.replace(old, self.home)  # an earlier restore was cut off between its renames
+        new, old = f"{self.home}.restore", f"{self.home}.before"
+        if self.tree.exists(old) and not self.tree.exists(self.home):
+            self.tree.rename(old, self.home)  # an earlier restore was cut off between its renames
         for p in (new, old):
-            shutil.rmtree(p, ignore_errors=True)
-        new.mkdir()
+            self.tree.delete(p)
         try:
-            with zipfile.ZipFile(archive) as z:
+            with zipfile.ZipFile(archive) as z, tempfile.TemporaryDirectory() as local:
                 for name in z.namelist():
-                    if not (new / name).resolve().is_relative_to(new.resolve()):
+                    if not (Path(local) / name).resolve().is_relative_to(Path(local).resolve()):
                         raise ValueError(f"unsafe name in the archive: {name}")
-                z.extractall(new)
-            version = (new / "current.version").read_text().strip()
-            if not re.fullmatch(r"v\d+", version) or not (new / "versions" / version / "corpus").exists():
+                z.extractall(f"{local}/x")
+                self.tree.put(f"{local}/x", new)
+            at = f"{new}/current.version"
+            version = self.tree.read(at).strip() if self.tree.exists(at) else ""
+            if not re.fullmatch(r"v\d+", version) or not self.tree.exists(f"{new}/versions/{version}/corpus"):
                 raise ValueError("the archive has no current version")
         except BaseException:
-            shutil.rmtree(new, ignore_errors=True)
+            self.tree.delete(new)
             raise
-        os.replace(self.home, old)
+        self.tree.rename(self.home, old)
         try:
-            os.replace(new, self.home)
+            self.tree.rename(new, self.home)
             self.words(version).limit(1).collect()  # it can be read
         except BaseException:
-            shutil.rmtree(self.home, ignore_errors=True)
-            os.replace(old, self.home)
-            shutil.rmtree(new, ignore_errors=True)
+            self.tree.delete(self.home)
+            self.tree.rename(old, self.home)
+            self.tree.delete(new)
             raise
-        shutil.rmtree(old, ignore_errors=True)
-        self.spark.catalog.refreshByPath(str(self.home))
+        self.tree.delete(old)
+        self.spark.catalog.refreshByPath(self.home)
         return version
 
 
@@ -341,12 +342,12 @@ class Projects:
     """The projects under one root; the default one can't be deleted."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.tree = spark, str(root).rstrip("/"), Tree(spark)
         self.create(DEFAULT_PROJECT)
 
     def create(self, name: str, exists_ok: bool = True) -> Store:
         """A project's store; unless exists_ok, one that is there already raises."""
-        if not exists_ok and valid_project(name) and (Path(self.root) / name).exists():
+        if not exists_ok and valid_project(name) and self.tree.exists(f"{self.root}/{name}"):
             raise FileExistsError(f"the project {name!r} exists")
         return Store(self.spark, self.root, name)
 
@@ -356,9 +357,9 @@ class Projects:
         return Store(self.spark, self.root, name)
 
     def names(self) -> list[str]:
-        return sorted(p.name for p in Path(self.root).iterdir() if p.is_dir() and valid_project(p.name))
+        return [n for n in self.tree.names(self.root) if valid_project(n)]
 
     def delete(self, name: str) -> None:
         if name == DEFAULT_PROJECT or name not in self.names():
             raise ValueError(f"can't delete {name!r}")
-        shutil.rmtree(Path(self.root) / name)
+        self.tree.delete(f"{self.root}/{name}")

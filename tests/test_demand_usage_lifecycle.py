@@ -219,23 +219,21 @@ def test_names_retention_lineage(spark):
 
 
 def test_a_restore_that_fails_leaves_all_as_it_was(spark, tmp_path, words, monkeypatch):
-    import lexiduct.sources.store as module
-
     s = Store(spark, str(tmp_path / "r"))
     s.bootstrap(words("reed", "rush", col="value"))
     z = str(tmp_path / "b.zip")
     s.backup(z)
     s.stage(words("sedge", col="value"))
     s.apply("merge")
-    real, calls = module.os.replace, []
+    real, calls = s.tree.rename, []
 
-    def replace(a, b):
+    def rename(a, b):
         calls.append(b)
         if len(calls) == 2:
             raise OSError("the disk is gone")
         real(a, b)
 
-    monkeypatch.setattr(module.os, "replace", replace)
+    monkeypatch.setattr(s.tree, "rename", rename)
     with pytest.raises(OSError, match="gone"):
         s.restore(z)
     assert len(calls) == 3 and s.current() == "v2" and rows(s.words()) == [("reed",), ("rush",), ("sedge",)]
