@@ -30,6 +30,11 @@ def prune(corpus: DataFrame, buckets: DataFrame, depth: int = 3, max_hits: int =
     return corpus.select("word", T.bucket("word", depth).alias("prefix")).join(alive, "prefix", "left_semi").select("word")
 
 
+def kept_dropped(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: kept, dropped, of a corpus and what a prune or a blacklist left of it."""
+    return diff(before, after).select(F.col("retained").alias("kept"), "dropped")
+
+
 def without(corpus: DataFrame, blacklist: DataFrame) -> DataFrame:
     """The corpus without blacklisted whole words."""
     return corpus.select("word").join(blacklist.select("word").distinct(), "word", "left_anti")

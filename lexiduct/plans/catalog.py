@@ -15,6 +15,7 @@ from lexiduct.operators import corpus as C
 from lexiduct.operators import demand, hotset, match, metrics, promote, setops, usage
 from lexiduct.plans import inputs as I
 from lexiduct.plans.session import ready
+from lexiduct.streaming import flows
 
 STRIDE = 64
 FUZZY_QUERIES = ("lage ring", "smal", "ring", "stel", "blu*", "ket", "ab", "***", "polishd", "old", "hcocolate", "gren")
@@ -85,6 +86,11 @@ def index_seek(spark, d):
     return C.index_seek(I.qlog(spark, d), C.skip_index(I.words(spark, d), STRIDE))
 
 
+@query(f'SELECT word, line::BIGINT AS line, off AS "offset" FROM ({_POS})')
+def corpus_positions(spark, d):
+    return C.positions(I.words(spark, d))
+
+
 # ---- search -------------------------------------------------------------------------------
 
 
@@ -130,6 +136,13 @@ def edit_budget(spark, d):
     return I.qlog(spark, d).select("query").distinct().select("query", T.edit_budget(F.col("query")).alias("edits"))
 
 
+@query(f"SELECT DISTINCT query, CASE WHEN length(query) >= 6 THEN 3 WHEN length(query) >= 4 THEN 2 ELSE 1 END AS edits, strlen(query) >= 3 AS long_enough FROM ({I.QLOG})")
+def edit_scheme(spark, d):
+    """A scheme of one's own, and the least length in bytes."""
+    q = I.qlog(spark, d).select("query").distinct()
+    return q.select("query", T.edit_budget(F.col("query"), {0: 1, 4: 2, 6: 3}).alias("edits"), match.min_length_ok(F.col("query"), 3).alias("long_enough"))
+
+
 def _best(q: str, w: str, k: str, free: bool) -> str:
     starts = f"range(1, length({w}) + 1)" if free else "[1]"
     return f"list_min(list_transform({starts}, lambda s: list_min(list_transform(range(greatest(0, length({q}) - {k}), length({q}) + {k} + 1), lambda n: levenshtein({q}, substr({w}, s, n))))))"
@@ -222,6 +235,26 @@ def usage_migrate(spark, d):
     return usage.migrate(usage.surfaced(I.answers(spark, d)), I.staged(spark, d))
 
 
+@query(f"SELECT prefix, sum(hits)::BIGINT AS hits FROM ({_BUCKETS} UNION ALL SELECT left(query, 3), count(*) FROM ({I.ANSWERS}) GROUP BY 1) GROUP BY prefix")
+def usage_merge(spark, d):
+    return usage.merge_counts(usage.bucket_hits(I.qlog(spark, d), 3), usage.bucket_hits(I.answers(spark, d), 3))
+
+
+@query(f"""SELECT '{{' || string_agg('"' || prefix || '":' || hits, ',' ORDER BY prefix) || '}}' AS snapshot FROM ({_BUCKETS})""")
+def usage_snapshot(spark, d):
+    return usage.as_map(usage.bucket_hits(I.qlog(spark, d), 3)).select(F.to_json("prefix_hits").alias("snapshot"))
+
+
+@query(f"SELECT us // 86400000000 * 86400000000 AS start_us, left(query, 3) AS prefix, count(*)::BIGINT AS hits FROM ({I.QLOG}) GROUP BY 1, 2")
+def usage_by_day(spark, d):
+    return flows.windowed_usage(I.qlog(spark, d)).select(F.unix_micros("start").alias("start_us"), "prefix", "hits")
+
+
+@query(f"SELECT word, word IN (SELECT unnest(words) FROM ({I.ANSWERS})) AS surfaced FROM ({I.STAGED})")
+def surfaced_lookup(spark, d):
+    return usage.is_surfaced(I.staged(spark, d), usage.surfaced(I.answers(spark, d)))
+
+
 # ---- demand -------------------------------------------------------------------------------
 
 
@@ -275,6 +308,17 @@ def _replayed(spark, d):
     return hotset.lru_replay(log, sizes, cap=_CAP, threshold=I.THRESHOLD, window_s=I.WINDOW_S, max_words=_MOST)
 
 
+@query(f"""WITH RECURSIVE {I.LEDGER}, h AS ({I.HOT}), p AS ({I.PARTS})
+SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY word)::BIGINT AS rank, word FROM h JOIN p ON starts_with(word, prefix) QUALIFY rank <= 5""")
+def promotion_words(spark, d):
+    return _long(promote.build(I.hot_prefixes(spark, d), I.parts(spark, d), 5), "rank")
+
+
+@query(f"WITH RECURSIVE {I.LEDGER}, h AS ({I.HOT}) SELECT DISTINCT query AS prefix, query IN (SELECT prefix FROM h) AS resident FROM ({I.QLOG})")
+def resident_lookup(spark, d):
+    return hotset.is_resident(I.qlog(spark, d).select(F.col("query").alias("prefix")).distinct(), I.hot_prefixes(spark, d))
+
+
 _CAP, _MOST = 60, 40
 #: The hot set as a list, least recently used first, carried from event to event.
 _REPLAY = f"""WITH RECURSIVE {I.LEDGER}, sz AS MATERIALIZED (SELECT query, least(count(word), {_MOST})::BIGINT AS words FROM (SELECT DISTINCT query FROM ({I.QLOG})) JOIN ({I.PARTS}) ON starts_with(word, query) GROUP BY query),
@@ -351,6 +395,18 @@ def corpus_blacklist(spark, d):
     return setops.without(I.words(spark, d), I.blacklist(spark, d))
 
 
+@query(f"SELECT count(*) FILTER (WHERE k)::BIGINT AS kept, count(*) FILTER (WHERE NOT k)::BIGINT AS dropped FROM (SELECT left(word, 3) IN (SELECT prefix FROM ({_BUCKETS}) WHERE hits > 0) AS k FROM ({I.WORDS}))")
+def prune_counts(spark, d):
+    w = I.words(spark, d)
+    return setops.kept_dropped(w, setops.prune(w, usage.bucket_hits(I.qlog(spark, d), 3), 3, 0))
+
+
+@query(f"SELECT count(*) FILTER (WHERE k)::BIGINT AS kept, count(*) FILTER (WHERE NOT k)::BIGINT AS dropped FROM (SELECT word NOT IN ({I.BLACKLIST}) AS k FROM ({I.WORDS}))")
+def blacklist_counts(spark, d):
+    w = I.words(spark, d)
+    return setops.kept_dropped(w, setops.without(w, I.blacklist(spark, d)))
+
+
 @query(f"WITH old AS (SELECT word FROM ({I.BLACKLIST}) WHERE length(word) > 6), new AS (SELECT DISTINCT {I.sql_norm('p_name')} AS word FROM part) SELECT count(*) FILTER (WHERE old.word IS NULL)::BIGINT AS added, count(*)::BIGINT AS total FROM old FULL JOIN new ON old.word = new.word")
 def blacklist_add(spark, d):
     old = I.blacklist(spark, d).where("length(word) > 6")
@@ -399,6 +455,21 @@ def status_histogram(spark, d):
     return metrics.status_histogram(metrics.observed(I.requests(spark, d)))
 
 
+_ODD_ROUTES = "CASE event_type WHEN 'signup' THEN '/health' WHEN 'error' THEN NULL WHEN 'view' THEN '' ELSE event_type END"
+
+
+@query(f"SELECT * FROM (SELECT CASE WHEN coalesce(r, '') = '' THEN '<not found>' ELSE r END AS route, count(*)::BIGINT AS count FROM (SELECT {_ODD_ROUTES} AS r FROM events) GROUP BY 1) WHERE route NOT IN ('/metrics', '/metrics/json', '/health')")
+def observed_routes(spark, d):
+    """Routes that aren't counted, and requests without one."""
+    e = I.requests(spark, d).withColumnRenamed("route", "event_type").withColumn("route", F.expr(_ODD_ROUTES))
+    return metrics.observed(e).groupBy("route").agg(F.count("*").alias("count"))
+
+
+@query(f"""SELECT '{{"route":"' || route || '","count":' || count(*) || ',"errors":' || count(*) FILTER (WHERE status >= 400) || '}}' AS json FROM ({I.REQUESTS}) GROUP BY route""")
+def metrics_snapshot(spark, d):
+    return metrics.snapshot_json(metrics.route_stats(metrics.observed(I.requests(spark, d))).select("route", "count", "errors"))
+
+
 _LIVE = f"""{_MATCHED}, e AS (SELECT prefix, count(word) AS n FROM h JOIN ({I.PARTS}) ON starts_with(word, prefix) GROUP BY prefix),
 live AS (SELECT (SELECT count(*) FROM ({I.PARTS}))::BIGINT AS corpus_words, (SELECT coalesce(sum(n), 0) FROM e)::BIGINT AS hot_words, (SELECT count(*) FROM e)::BIGINT AS hot_entries,
   (SELECT count(hot_prefix) FROM l)::BIGINT AS hits, (SELECT count(*) - count(hot_prefix) FROM l)::BIGINT AS misses, (SELECT round(count(hot_prefix) / count(*), 6) FROM l) AS hit_rate, 100000::BIGINT AS word_cap)"""
