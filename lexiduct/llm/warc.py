@@ -23,6 +23,7 @@ from lexiduct.llm import files
 from lexiduct.llm.shared import work_path, written
 
 DATE = "1970-01-01T00:00:00Z"
+SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 18
 
@@ -113,9 +114,14 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     a null page_id is a response of its own that no other revisits."""
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     plain = plain.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    shared = plain.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id <> last_id").select("sha", "first_id")
-    out = plain.join(shared, "sha", "left")
-    return out.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("original"))
+    # Payloads don't travel by digest, which very many pages may share: ids meet their
+    # digest's first one, dealt by a salt too, and payloads only their own id's answer.
+    light = plain.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha")
+    shared = light.groupBy("sha").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last_id")).where("original <> last_id")
+    shared = shared.select("sha", "original", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    light = light.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = light.join(shared, ["sha", "salt"]).where("page_id > original").select("page_id", "sha", "original")
+    return plain.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "original")
 
 
 def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
