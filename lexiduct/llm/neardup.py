@@ -177,7 +177,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, sigmas: float |
                 to = pa.array([None] * (len(hit_i) + len(hit_j)) + [int(v) for v in e], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), to], names=["cid", "n", "to"])
 
-    found = written(pairs.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(compare, "cid long, n long, to long"), "vec-links")
+    # Rows are few and large, so tasks go by their number: some pairs of blocks each.
+    n = packed.groupBy("label", "dim").agg(F.count("*").alias("b")).agg(F.sum(F.col("b") * (F.col("b") + 1) / 2)).first()[0] or 1
+    tasks = int(max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 8))))
+    found = written(pairs.repartition(tasks).mapInArrow(compare, "cid long, n long, to long"), "vec-links")
     discard(packed)
     comp = components(found.where("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b")), "vec-cc").withColumnRenamed("node", "cid")
     first = classes.select("cid", "rep").join(comp, "cid").groupBy("component").agg(F.min("rep").alias("first"))
