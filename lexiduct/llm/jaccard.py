@@ -266,6 +266,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     told = written(document_sets(docs, k), "jac-docs")
     docs_sets = told.where("n is not null").drop("cell", "h", "c")
     classes = docs_sets.where("n > 0").groupBy("fa").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    classes = written(classes, "jac-classes")  # read for every round of links
     by = Window.partitionBy("token")
     posts = prefix_postings(docs, k, percent, rarity_levels(told.where("n is null"))).withColumn("hub", F.min(F.struct("fa", "n", "pos")).over(by)).withColumn("last", F.max("fa").over(by))
     posts = written(posts.where(F.col("hub.fa") != F.col("last")).select("token", F.struct("fa", "n", "pos").alias("p"), "hub").distinct(), "jac-posts")
@@ -318,7 +319,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent)).where(_bits_near("bits", "sbits", "p.n", "s.n", percent))
     rest = written(_pair(rest, "p.fa", "s.fa").join(tested, ["x", "y"], "left_anti"), "jac-rest")
     found.append(linked(rest))
-    discard(rest, comp, *used)
+    discard(rest, comp, classes, *used)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
