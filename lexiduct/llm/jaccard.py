@@ -9,11 +9,11 @@ the survivors fetch.
 
 Groups of near copies would share a prefix shingle pairwise, so pairs are tested in
 rounds, and the links found are contracted to components before the next.  First each
-class only with the smallest class of each of its prefix shingles (a star).  Then each
-only with its neighbour in a random order of the classes of a prefix shingle, where that
-is in another component, and again while testing all pairs left would cost much: such
-rounds, each linear in the postings and far smaller than the one before, join a group of
-near copies.  Last, for prefix shingles that still join different components, the
+class only with the smallest class of each of its prefix shingles (a star).  Then, while
+testing all pairs left would cost much and rounds lower it, each only with its neighbour in a random order
+of the classes of a prefix shingle, where that is in another component: a few such
+rounds, each linear in the postings and far smaller than the one before, join a group
+of near copies.  Last, for prefix shingles that still join different components, the
 classes outside of the shingle's largest component with all its classes of other
 components.  Pairs within one component are never tested, as they can't change it; no
 other pair is left out.
@@ -36,7 +36,7 @@ CELL_BITS = 23  # cells of the hash space that have a level of rarity, a byte ea
 PART_BITS = 15
 ROUNDS = 3  # of neighbours in random orders, at most
 BITS = 8  # longs of the short sketch that a join compares
-CHEAP = 8  # pairs a posting up to which all pairs left are tested at once
+CHEAP = 64  # pairs a posting up to which all pairs left are tested at once
 
 
 def sets_of(column: pa.Array, k: int):
@@ -246,7 +246,7 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """fa, hashes of the wanted classes, from one document of each (wanted: fa, doc_id,
     text_hash).  Only a class without any id is found by the hash of a text."""
     lone = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("lone")
-    texts, keys = _texts(docs).select("doc_id", "text", lone), wanted.select("doc_id", lone).distinct()
+    texts, keys = _texts(docs).select("doc_id", "text", lone), wanted.select("doc_id", lone)
     rows = texts.join(keys, texts["doc_id"].eqNullSafe(keys["doc_id"]) & texts["lone"].eqNullSafe(keys["lone"]), "left_semi")
 
     def run(batches):
@@ -276,7 +276,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = written(close_enough(pairs, classes, percent), "jac-near")
-        used = near.select(F.col("x").alias("fa")).unionByName(near.select(F.col("y").alias("fa"))).distinct()
+        used = near.select(F.col("x").alias("fa")).unionByName(near.select(F.col("y").alias("fa")))
         sets = written(_class_sets(docs, classes.join(used, "fa", "left_semi"), k), "jac-sets")
         links = written(verified(near, sets, percent), "jac-links")
         discard(near, sets)
@@ -285,39 +285,33 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     links = linked(star)
     comp = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "jac-cc"), "jac-comp")
 
-    tested, found, mixed, used = star, [links], posts, [star]
-
-    def mix() -> DataFrame:
-        out = _mixed(mixed, comp)
-        discard(mixed)
-        return out
-
-    for n in range(ROUNDS):
-        mixed = mix()
-        if n:
-            cost = mixed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("in_big")).alias("out")).agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("postings")).first()
-            if (cost.pairs or 0) <= CHEAP * (cost.postings or 0):
-                break
+    found, mixed, used, pairs_left = [links], posts, [star], 0
+    for n in range(ROUNDS + 1):
+        before, mixed = mixed, _mixed(mixed, comp)
+        discard(before)
+        size = mixed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("in_big")).alias("out"))
+        cost = size.agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("postings")).first()
+        # Rounds join groups of copies that are near enough; where the last one didn't take
+        # the pairs left to a quarter, as among copies below the threshold, another won't.
+        if n == ROUNDS or (cost.pairs or 0) <= CHEAP * (cost.postings or 0) or (n and cost.pairs * 4 > pairs_left):
+            break
+        pairs_left = cost.pairs
         order = Window.partitionBy("token").orderBy(F.xxhash64("p.fa", "token", F.lit(n)), "p.fa")
         near = mixed.select("p", "comp", F.lag(F.struct("p", "comp")).over(order).alias("q")).where(F.col("comp") != F.col("q.comp"))
-        near = _pair(near.where(_overlap_possible("p", "q.p", percent)), "p.fa", "q.p.fa")
-        near = written(near.join(tested, ["x", "y"], "left_anti"), "jac-round")
+        near = written(_pair(near.where(_overlap_possible("p", "q.p", percent)), "p.fa", "q.p.fa"), "jac-round")
         more = linked(near)
-        tested = tested.unionByName(near)
         used.append(near)
         found.append(more)
         known = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         before, comp = comp, written(components(known.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "jac-cc"), "jac-comp")
         discard(before)
-    else:
-        mixed = mix()
 
     used.append(mixed)
     mixed = mixed.join(classes.select(F.col("fa").alias("_fa"), "bits"), F.col("p.fa") == F.col("_fa")).select("token", "p", "comp", "in_big", "bits")
     small = mixed.where("not in_big").select("token", F.col("p").alias("s"), F.col("comp").alias("sc"), F.col("bits").alias("sbits"))
     rest = mixed.join(small, "token").where(F.col("comp") != F.col("sc"))
     rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent)).where(_bits_near("bits", "sbits", "p.n", "s.n", percent))
-    rest = written(_pair(rest, "p.fa", "s.fa").join(tested, ["x", "y"], "left_anti"), "jac-rest")
+    rest = written(_pair(rest, "p.fa", "s.fa"), "jac-rest")
     found.append(linked(rest))
     discard(rest, comp, classes, *used)
     out = found[0]
@@ -367,7 +361,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, one_id: bo
     # Classes are told apart by both fingerprints; links name them by the first.
     classes = rows.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     name = F.lit(0).cast("long") if one_id else F.col("fa")
-    classes = classes.select("fa", "fb", F.struct(F.col("rep").isNull().alias("lone"), F.coalesce("rep", "fa").alias("id"), name.alias("class")).alias("node"))
+    classes = written(classes.select("fa", "fb", F.struct(F.col("rep").isNull().alias("lone"), F.coalesce("rep", "fa").alias("id"), name.alias("class")).alias("node")), "jac-names")
     edges = links.join(classes.select(F.col("fa").alias("x"), F.col("node").alias("a")), "x").join(classes.select(F.col("fa").alias("y"), F.col("node").alias("b")), "y")
     comp = components(edges.select("a", "b"), "jac-cc")
     named = classes.join(comp, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int) -> tuple[DataF
     return docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").where("text is not null").select("text", "label"), rates
 
 
+#: Edges that one task may contract; more are contracted by rounds of joins.
+FEW_EDGES = 16_384
+
+
+def _contract(edges: DataFrame, tag: str) -> DataFrame:
+    """node, p (its component) of a few edges, by union-find in one task."""
+    schema = edges.select(F.col("a").alias("node"), F.col("b").alias("p")).schema
+    fields = getattr(schema["node"].dataType, "names", None)
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        kind = None
+        key = (lambda v: tuple(v[f] for f in fields)) if fields else (lambda v: v)  # in Spark's order of structs
+        for b in batches:
+            kind = b["a"].type
+            for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+                x, y = find(key(x)), find(key(y))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        if parent:
+            nodes = list(parent)
+            value = (lambda v: dict(zip(fields, v))) if fields else (lambda v: v)
+            yield pa.RecordBatch.from_arrays([pa.array([value(v) for v in nodes], kind), pa.array([value(find(v)) for v in nodes], kind)], names=["node", "p"])
+
+    return written(edges.select("a", "b").coalesce(1).mapInArrow(run, schema), tag)
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of edges (a, b: longs or structs without nulls) -> (node,
     component), the component being its smallest node.  Nodes without an edge are not returned.
@@ -90,19 +125,25 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     the pointers once, and contracts the graph to the edges left between
     different parents.  At least half of the nodes vanish in a round.  Minima are
     pre-aggregated before the shuffle and the joins are plain equi-joins, so a
-    node with very many edges doesn't land in one task."""
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = written(both.distinct(), tag)
+    node with very many edges doesn't land in one task.  Once FEW_EDGES or fewer are left,
+    one task contracts them."""
+    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tag)
     maps: list[DataFrame] = []
-    while not left.isEmpty():
-        up = left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
+    while n := left.limit(FEW_EDGES + 1).count():
+        if n <= FEW_EDGES:
+            maps.append(_contract(left, tag))
+            discard(left)
+            break
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
         near = written(up, tag)
         over = near.select(F.col("node").alias("p"), F.col("p").alias("pp"))
         up = written(near.join(over, "p", "left").select("node", F.coalesce("pp", "p").alias("p")), tag)
         maps.append(up)
-        pa = up.select(F.col("node").alias("a"), F.col("p").alias("pa"))
-        pb = up.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        rest = written(left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), tag)
+        to_a = up.select(F.col("node").alias("a"), F.col("p").alias("pa"))
+        to_b = up.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        rest = left.join(to_a, "a").join(to_b, "b").where("pa <> pb")
+        rest = written(rest.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), tag)
         discard(near, left)
         left = rest
     if not maps:
