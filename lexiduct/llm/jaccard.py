@@ -9,8 +9,8 @@ the survivors fetch.
 
 Groups of near copies would share a prefix shingle pairwise, so pairs are tested in
 rounds, and the links found are contracted to components before the next.  First each
-class only with the smallest class of each of its prefix shingles (a star).  Then, while
-testing all pairs left would cost much and rounds lower it, each only with its neighbour in a random order
+class only with the smallest class of each of its prefix shingles (a star).  Then, once
+and again while all pairs left would cost much and rounds lower that, with its neighbour in a random order
 of the classes of a prefix shingle, where that is in another component: a few such
 rounds, each linear in the postings and far smaller than the one before, join a group
 of near copies.  Last, for prefix shingles that still join different components, the
@@ -293,9 +293,9 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
         cost = size.agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("postings")).first()
         # Rounds join groups of copies that are near enough; where the last one didn't take
         # the pairs left to a quarter, as among copies below the threshold, another won't.
-        if n == ROUNDS or (cost.pairs or 0) <= CHEAP * (cost.postings or 0) or (n and cost.pairs * 4 > pairs_left):
+        left, pairs_left = pairs_left, cost.pairs or 0
+        if n == ROUNDS or (n and (pairs_left <= CHEAP * (cost.postings or 0) or pairs_left * 4 > left)):
             break
-        pairs_left = cost.pairs
         order = Window.partitionBy("token").orderBy(F.xxhash64("p.fa", "token", F.lit(n)), "p.fa")
         near = mixed.select("p", "comp", F.lag(F.struct("p", "comp")).over(order).alias("q")).where(F.col("comp") != F.col("q.comp"))
         near = written(_pair(near.where(_overlap_possible("p", "q.p", percent)), "p.fa", "q.p.fa"), "jac-round")
