@@ -175,8 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epoch
     """Learns from docs (doc_id, text) and labels (doc_id, label 0/1): a hash sample of about per_class
     documents of each class (of those up to max_bytes and max_lines, so 2 * per_class *
     max_bytes at most) comes to the driver."""
-    sample, rates = labelled_sample(docs, labels, per_class)
-    got = sample.where(F.octet_length("text") <= max_bytes).toArrow()
+    got, rates = labelled_sample(docs, labels, per_class, max_bytes)
     y = got["label"].to_numpy().astype(int)
     xs, lens, ns = [], [], []
     for chunk in got["text"].chunks:

@@ -75,12 +75,26 @@ def hash_sample(df: DataFrame, key: str, strata: str, cap: int, most: int = 256)
     return df.where(picked), rates, sizes
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int) -> tuple[DataFrame, dict]:
-    """text, label of about cap documents of each label (labels: doc_id, label), and the
-    rate of each label.  Labels are counted and sampled before they meet the documents,
-    so only the sample, whose size cap bounds, is broadcast and no text is shuffled."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int, max_bytes: int) -> tuple[pa.Table, dict]:
+    """text, label of about cap documents of each label (labels: doc_id, label), of texts up
+    to max_bytes, and the rate of each label.  Labels are counted and sampled before they
+    meet the documents, so only a sample of cap labels is broadcast.
+
+    An id may have many rows: those equal in id and text are one document, and where more than
+    twice cap documents of a label are met, a hash of id and text picks about cap of them.
+    So the driver gets 2 * cap * max_bytes of a label at most, whatever the ids."""
     sample, rates, _ = hash_sample(labels.where("label is not null and doc_id is not null"), "doc_id", "label", cap)
-    return docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").where("text is not null").select("text", "label"), rates
+    met = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").where(F.octet_length("text") <= max_bytes)
+    met = written(met.dropDuplicates(["doc_id", "text"]), "sample")
+    picked = met
+    for label, n in [tuple(r) for r in met.groupBy("label").count().collect()]:
+        if n > 2 * cap:
+            rates[label] *= cap / n
+            few = F.pmod(F.xxhash64("doc_id", "text", F.lit(19)), F.lit(1_000_000)) < cap / n * 1_000_000
+            picked = picked.where((F.col("label") != F.lit(label)) | few)
+    got = picked.select("text", "label").toArrow().sort_by([("label", "ascending"), ("text", "ascending")])  # so that a fit repeats
+    discard(met)
+    return got, rates
 
 
 #: Edges that one task may contract; more are contracted by rounds of joins.

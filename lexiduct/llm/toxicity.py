@@ -131,8 +131,7 @@ def fit_toxicity(
     Of the terms in least_docs sampled documents or more, those with a z of least_z between
     the classes are kept, and those that reach pair_z among the documents of one of the
     pair_terms strongest of them; at most max_terms, by z."""
-    sample, rates = labelled_sample(docs, labels, per_class)
-    got = sample.where(F.octet_length("text") <= max_bytes).toArrow()
+    got, rates = labelled_sample(docs, labels, per_class, max_bytes)
     y = got["label"].to_numpy().astype(np.float64)
     if len(np.unique(y)) < 2:
         odds = -6.0 if not len(y) or y[0] == 0 else 6.0

@@ -7,9 +7,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
 from lexiduct.llm import extract, langid, quality, toxicity, warc
+from lexiduct.llm.shared import labelled_sample
 
 TOY = {"en": "the of and ing ion er th in".split(), "fr": "le de et eau ou é re qu".split(), "de": "der und sch ung ei ü ich".split()}
 
@@ -67,6 +69,19 @@ def test_factorization_machine(spark):
     assert m.logits(x, np.array([0, 3]))[0] == pytest.approx(6.5 + sum(v[i] @ v[j] for i in range(3) for j in range(i)))
 
 
+def test_sample_is_bounded_where_ids_repeat(spark):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, label int")
+    plain = [(i, f"text {i}") for i in range(40)]
+    once, rates = labelled_sample(spark.createDataFrame(plain, "doc_id long, text string"), labels, 50, 100)
+    assert once.num_rows == 40 and rates == {0: 1.0, 1: 1.0}
+    # Repeated rows count once, and many texts of one id don't outgrow the bound.
+    odd = plain * 30 + [(0, f"another {i}") for i in range(2000)] + [(1, None), (2, "x" * 101), (None, "y")]
+    got, rates = labelled_sample(spark.createDataFrame(odd, "doc_id long, text string").repartition(5), labels, 50, 100)
+    n = dict(zip(*np.unique(got["label"].to_numpy(), return_counts=True)))
+    assert n[0] == 30 and 10 <= n[1] <= 100 and rates[0] == 1.0 and rates[1] == pytest.approx(50 / 2010)
+    assert set(got.filter(pc.equal(got["label"], 0))["text"].to_pylist()) == {t for i, t in plain if i % 4}
+
+
 def test_forward_backward_against_brute_force():
     rng = np.random.default_rng(3)
     n = [3, 0, 1, 5]
