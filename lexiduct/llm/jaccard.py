@@ -15,8 +15,8 @@ of the classes of a prefix shingle, where that is in another component: a few su
 rounds, each linear in the postings and far smaller than the one before, join a group
 of near copies.  Last, for prefix shingles that still join different components, the
 classes outside of the shingle's largest component with all its classes of other
-components.  Pairs within one component are never tested, as they can't change it; no
-other pair is left out.
+components, each pair at the first shingle that it shares.  Pairs within one component
+are never tested, as they can't change it; no other pair is left out.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ CELL_BITS = 23  # cells of the hash space that have a level of rarity, a byte ea
 PART_BITS = 15
 ROUNDS = 3  # of neighbours in random orders, at most
 BITS = 8  # longs of the short sketch that a join compares
+EARLIER = 16  # shingles before a posting's own that the last join compares
 CHEAP = 64  # pairs a posting up to which all pairs left are tested at once
 
 
@@ -307,10 +308,15 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
         discard(before)
 
     used.append(mixed)
-    mixed = mixed.join(classes.select(F.col("fa").alias("_fa"), "bits"), F.col("p.fa") == F.col("_fa")).select("token", "p", "comp", "in_big", "bits")
-    small = mixed.where("not in_big").select("token", F.col("p").alias("s"), F.col("comp").alias("sc"), F.col("bits").alias("sbits"))
+    # A pair of different components shares only shingles that are mixed, and a linked one passes all
+    # filters at the first of them, so later ones needn't make it again.  The lists only tell which are
+    # later: what a bound leaves out of them makes a pair twice, and loses none.
+    before = Window.partitionBy("fa").orderBy("p.pos", "token").rowsBetween(-EARLIER, -1)
+    mixed = mixed.withColumn("fa", F.col("p.fa")).withColumn("met", F.collect_list("token").over(before))
+    mixed = mixed.join(classes.select("fa", "bits"), "fa").select("token", "p", "comp", "in_big", "bits", "met")
+    small = mixed.where("not in_big").select("token", F.col("p").alias("s"), F.col("comp").alias("sc"), F.col("bits").alias("sbits"), F.col("met").alias("smet"))
     rest = mixed.join(small, "token").where(F.col("comp") != F.col("sc"))
-    rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent)).where(_bits_near("bits", "sbits", "p.n", "s.n", percent))
+    rest = rest.where(F.col("in_big") | (F.col("p.fa") < F.col("s.fa"))).where(_overlap_possible("p", "s", percent)).where(_bits_near("bits", "sbits", "p.n", "s.n", percent)).where(~F.arrays_overlap("met", "smet"))
     rest = written(_pair(rest, "p.fa", "s.fa"), "jac-rest")
     found.append(linked(rest))
     discard(rest, comp, classes, *used)

@@ -169,6 +169,35 @@ def test_jaccard_against_brute_force(spark, k, percent):
     assert got == brute_groups(docs, k, percent)
 
 
+@pytest.mark.parametrize("earlier", [64])
+def test_last_join_makes_a_pair_once(spark, monkeypatch, earlier):
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for d in range(40):  # near copies on both sides of the threshold
+        w = list(base)
+        w[rnd.randrange(120)], w[rnd.randrange(120)] = f"x{d}", f"x{d % 7}"
+        docs.append((d, " ".join(w)))
+    made = []
+
+    def pair(rows, a, b, plain=jaccard._pair):
+        made.append((rows.count(), plain(rows, a, b).count()))
+        return plain(rows, a, b)
+
+    def all_but_star(pairs, *rest, plain=jaccard.close_enough):
+        return plain(pairs if len(made) > 1 else pairs.where("false"), *rest)
+
+    monkeypatch.setattr(jaccard, "_pair", pair)
+    monkeypatch.setattr(jaccard, "close_enough", all_but_star)  # so that the last join has to find every link
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "EARLIER", earlier, raising=False)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(df, 4, 85).collect()}
+    assert got == brute_groups(docs, 4, 85)
+    rows, pairs = made[-1]
+    assert (rows, pairs > 0) == (pairs, True)
+
+
 def test_jaccard_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id) for r in jaccard.jaccard_groups(df, 4, 85).collect())
